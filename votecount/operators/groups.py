@@ -38,11 +38,17 @@ def attach(
     the joined side small when only repeated keys matter.
     """
     hot_rows, hot_keys = hot_rows or HOT_ROWS, hot_keys or HOT_KEYS
-    counted = df if among is None else df.where(among)
+    takes_part = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    # Rows left out share one NULL group instead of being filtered: a filter would be pushed
+    # below whatever computes ``among`` and evaluate that twice.
+    grouped = df.groupBy(key) if among is None else df.groupBy(F.when(takes_part, F.col(key)).alias(key))
     packed = (
-        counted.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in facts.items()])
-        .where(F.col("_rows") >= min_rows)
+        grouped.agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.max(takes_part).alias("_parte"),
+            *[c.alias(n) for n, c in facts.items()],
+        )
+        .where(F.col("_parte") & (F.col("_rows") >= min_rows))
         .select(key, "_rows", F.struct(*facts).alias("_facts"))
     )
     hot = (
@@ -51,7 +57,6 @@ def attach(
         .limit(hot_keys)
         .select(key, F.col("_facts").alias("_hot"))
     )
-    takes_part = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
     spread = F.pmod(F.xxhash64(row_id), F.lit(SALTS)) + 1
     alone = F.col("_hot").isNotNull() | ~takes_part | F.col(key).isNull()
     salted = df.join(F.broadcast(hot), key, "left").withColumn(

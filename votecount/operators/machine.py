@@ -73,8 +73,8 @@ def sms_outcomes(
 
     ``registered`` / ``stored`` are the register and the sheets kept by earlier runs.
     """
-    out = mark_duplicate_hash(hashed(messages, policy), registered)
-    out = parse_sms(out)
+    # Parsed before the first join, so that what only needs counts does not carry the text.
+    out = mark_duplicate_hash(parse_sms(hashed(messages, policy)), registered)
     out = out.withColumn(
         "etapa",
         F.when(~F.col("autorizado"), BY_PHONE)

@@ -297,6 +297,47 @@ up AS (
       OR (rn > 1 AND (pv <> f_val OR pn <> f_nul OR pb <> f_bla OR (f_dep <> '' AND pd <> f_dep))) AS con_inc
   FROM up0 JOIN kept USING (acta_id))"""
 
+def _drawn(value: str) -> str:
+    """Three digits with blanks between them, some as look-alikes."""
+    d = f"lpad(CAST({value} AS VARCHAR), 3, '0')"
+    spaced = f"substr({d}, 1, 1) || ' ' || substr({d}, 2, 1) || ' ' || substr({d}, 3, 1)"
+    return f"CASE WHEN k % 13 = 0 THEN translate({spaced}, '0158', 'OlSB') ELSE {spaced} END"
+
+
+def _three(value: str) -> str:
+    return f"lpad(CAST({value} AS VARCHAR), 3, '0')"
+
+
+_ADMIN = ["votantes_habilitados", "papeletas_anfora", "sin_usar"]
+_VOTES = ["c1 + corr", "P2", "P3", "P4"]
+_TOTALS = ["votos_validos + corr", "votos_blancos", "votos_nulos"]
+
+
+def _unless(condition: str, values: list[str]) -> str:
+    return ", ".join(f"CASE WHEN NOT ({condition}) THEN {v} END" for v in values)
+
+
+# The text of each file, for sizes and hashes only.
+_FILE_TEXT = f""",
+ftx AS (
+  SELECT seq, k, codigo_recinto, departamento, file_name, CASE WHEN pdf THEN concat_ws(chr(10),
+    '--- FUENTE: TEXTO_EMBEBIDO ---', departamento, provincia, municipio, 'Local', 'Calle ' || recinto, '',
+    CASE WHEN k % 17 <> 0 THEN CAST(codigo_acta AS VARCHAR) END, ' ', CASE WHEN k % 23 <> 0 THEN CAST(nro_mesa AS VARCHAR) END,
+    CASE WHEN k % 37 = 0 THEN 'ANULADA' END, {", ".join(map(_drawn, _ADMIN))},
+    {_unless("k % 83 = 0", list(map(_drawn, _VOTES)))}, {", ".join(map(_drawn, _TOTALS))})
+  ELSE concat_ws(chr(10), 'ACTA DE ESCRUTINIO Y CONTEO',
+    CASE WHEN k % 17 <> 0 THEN 'CÓDIGO DE MESA: ' || codigo_acta END, 'NÚMERO DE MESA: ' || nro_mesa,
+    CASE WHEN k % 31 <> 0 THEN 'Departamento : ' || departamento END, 'Provincia : ' || provincia,
+    'Municipio : ' || replace(municipio, '_', ' '), 'Localidad : Centro', 'Recinto : ' || recinto,
+    CASE WHEN k % 31 = 0 THEN 'Jurado de ' || departamento END, CASE WHEN k % 37 = 0 THEN 'ANULADA' END,
+    {_unless("k % 29 = 0", [f"'dato: ' || ({_drawn(v)})" for v in _ADMIN])},
+    {_unless("k % 29 = 0", [f"'casilla: ' || ({_drawn(v)})" for v in _VOTES])},
+    {_unless("k % 29 = 0", [f"'total: ' || ({_drawn(v)})" for v in _TOTALS])},
+    {_unless("k % 29 <> 0", ["'DAENERYS TARGARYEN : ' || " + _three(_VOTES[0]), "'Sansa Stork ' || " + _three("P2"),
+                             "'Robert BARATHEON  ' || " + _three("P3"), "'VOTOS VÁLIDOS: ' || " + _three(_TOTALS[0]),
+                             "'VOTOS BLANCOS: ' || " + _three("votos_blancos")])}) END AS texto
+  FROM fil)"""
+
 _IMAGES = """,
 dens AS (SELECT l_orderkey AS k, max(l_quantity) / 100.0 AS max_cell_density FROM lineitem GROUP BY 1),
 img AS (
@@ -429,6 +470,9 @@ SELECT codigo_acta, codigo_recinto, CAST(nro_mesa AS BIGINT) AS nro_mesa, P1 AS
        'corre y vale, sí' AS observaciones
 FROM tal WHERE k % 64 <> 0"""),
     "src_sms": _with("SELECT telefono, mensaje_raw, llegada AS fecha_recepcion, seq FROM txt", _QUICK, _MESSAGES, _MESSAGE_TEXT),
+    "src_sheet_texts": _with(
+        "SELECT seq, file_name, CAST(strlen(texto) AS BIGINT) AS bytes, sha256(texto) AS hash_origen FROM ftx",
+        _QUICK, _FILES, _FILE_TEXT),
     "file_inventory": """
 SELECT file_name, extension, sha256(html) AS hash_origen, CAST(strlen(html) AS BIGINT) AS bytes
 FROM (SELECT html, ext AS extension, 'page_' || page_id || ext AS file_name
@@ -810,6 +854,9 @@ SELECT acta_id, CAST(CASE WHEN k % 25 = 0 THEN -1 ELSE 0 END AS BIGINT) AS dif_p
        CAST(0 AS BIGINT) AS dif_votos_nulos, ref_anfora - anfora_reportada AS dif_papeletas_anfora,
        ref_hab - electores_habilitados AS dif_votantes_habilitados
 FROM sh WHERE k % 25 = 0 OR k % 90 = 0 OR k % 60 = 0"""),
+    "q18_file_volume": _with("""
+SELECT departamento, count(*) AS archivos, CAST(sum(strlen(texto)) AS BIGINT) AS bytes,
+       CAST(sum(strlen(texto)) AS BIGINT) / 1048576 AS megabytes FROM ftx GROUP BY 1""", _QUICK, _FILES, _FILE_TEXT),
     "processing_rate": _quick(f"""
 SELECT date_trunc('day', fecha_recepcion)::TIMESTAMP AS inicio, count(*) AS recibidas, count(*) FILTER (estado = 'PROCESADA') AS procesadas,
        count(*) / 24 AS por_hora, {_pct("count(*) FILTER (estado = 'PROCESADA')", "count(*)")} AS pct_procesadas FROM sh GROUP BY 1"""),
