@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from votecount import constants as K
 from votecount.functions.ocr import digits_only, ocr_number
 from votecount.functions.scalars import compact, strict_int, sum_votes, trim_all
+from votecount.functions.steps import once
 
 # Patterns of labels and digit groups. (?iu) folds accented letters too and
 # \z is the very end of the text.
@@ -155,14 +156,11 @@ def _split_lines(df: DataFrame) -> DataFrame:
         text, F.instr(text, K.EMBEDDED_MARKER) + len(K.EMBEDDED_MARKER), F.length(text)
     )
     out = df.withColumn("_emb", F.contains(text, F.lit(K.EMBEDDED_MARKER)))
-    out = out.withColumn(
-        "_lineas",
-        F.transform(F.split(F.when(F.col("_emb"), after).otherwise(text), "\n"), trim_all),
-    )
-    return out.withColumn(
-        "_lineas",
-        F.when(F.col("_emb"), F.filter("_lineas", lambda x: x != "")).otherwise(F.col("_lineas")),
-    )
+    body = F.when(F.col("_emb"), after).otherwise(text)
+    lines = F.transform(F.split(body, "\n"), trim_all)
+    # Empty lines only matter where a label's value may be on the line below.
+    kept = F.filter(lines, lambda x: (x != "") | ~F.col("_emb"))
+    return once(out, {"_lineas": kept})
 
 
 def parse_sheet_text(df: DataFrame, strict_annul: bool = False) -> DataFrame:
@@ -174,7 +172,8 @@ def parse_sheet_text(df: DataFrame, strict_annul: bool = False) -> DataFrame:
     text, lines, emb = F.col("text"), F.col("_lineas"), F.col("_emb")
     line = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
     out = _split_lines(df)
-    out = out.withColumns(
+    out = once(
+        out,
         {
             "_n": F.size(lines),
             "_corto": emb & (F.size(lines) < 3),
@@ -183,7 +182,7 @@ def parse_sheet_text(df: DataFrame, strict_annul: bool = False) -> DataFrame:
                 emb, _first(F.filter(lines, lambda x: x.rlike(r"^[0-9]{13,16}\z")))
             ).otherwise(ocr_code(text)),
             "_t": F.when(emb, embedded_triplets(lines)).otherwise(ocr_triplets(lines)),
-        }
+        },
     )
     ocr_text = lambda c: F.when(~emb, c).otherwise(F.lit(""))
     emb_line = lambda c: F.when(emb & ~F.col("_corto"), c)
@@ -193,7 +192,8 @@ def parse_sheet_text(df: DataFrame, strict_annul: bool = False) -> DataFrame:
     )
     emb_place = F.when(F.octet_length(line(4)) > F.octet_length(line(3)), line(4)).otherwise(line(3))
     ocr_department = trim_all(F.regexp_extract(text, P_DEPARTMENT, 1))
-    out = out.withColumns(
+    out = once(
+        out,
         {
             "departamento": F.coalesce(
                 emb_line(line(0)),
@@ -215,7 +215,7 @@ def parse_sheet_text(df: DataFrame, strict_annul: bool = False) -> DataFrame:
                 emb_line(emb_table), ocr_text(digits_only(F.regexp_extract(text, P_TABLE, 1)))
             ),
             "_t": F.when(F.col("_corto"), F.array().cast("array<bigint>")).otherwise(F.col("_t")),
-        }
+        },
     )
     out = out.withColumns(
         {
@@ -241,7 +241,8 @@ def parse_sheet_text(df: DataFrame, strict_annul: bool = False) -> DataFrame:
         .when(tail != "", tail.cast("int").cast("string"))
         .otherwise("")
     )
-    out = out.withColumns(
+    out = once(
+        out,
         {
             "mesa": mesa,
             "candidatos": F.when(
@@ -250,7 +251,7 @@ def parse_sheet_text(df: DataFrame, strict_annul: bool = False) -> DataFrame:
             "votos_validos": count("t_validos", P_VALID),
             "votos_blancos": count("t_blancos", P_BLANK),
             "votos_nulos": count("t_nulos", P_NULL),
-        }
+        },
     )
     out = out.withColumns(
         {

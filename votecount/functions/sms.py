@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from votecount import constants as K
 from votecount.functions.scalars import strict_int, trim_all
+from votecount.functions.steps import once
 
 # Longest run of missing candidate numbers that is spelled out one error each; a longer
 # run (C2 next to C900000000) becomes one error that names both ends of the run.
@@ -126,12 +127,17 @@ def parse_sms(df: DataFrame, message: str = "mensaje_raw", strict: bool = True)
     ``strict=False`` is the lenient report reading: parts without a colon are ignored
     and no error list is produced.
     """
-    out = df.withColumn("_partes", F.transform(F.split(F.col(message), r"\|"), _split_part))
-    out = out.withColumn(
-        "_pares", F.reverse(F.filter("_partes", lambda p: p["clave"].isNotNull()))
-    )
+    out = once(df, {"_partes": F.transform(F.split(F.col(message), r"\|"), _split_part)})
+    out = once(out, {"_pares": F.reverse(F.filter("_partes", lambda p: p["clave"].isNotNull()))})
     keys = list(_TEXT_FIELDS) + list(_COUNT_FIELDS)
-    out = out.withColumns({f"_raw_{k}": _last(F.col("_pares"), k) for k in keys})
+    votes = F.filter(
+        F.transform(
+            F.filter("_pares", lambda p: _is_candidate(p["clave"])),
+            lambda p: F.struct(_number(p["clave"]).alias("n"), strict_int(p["valor"]).alias("v")),
+        ),
+        lambda c: c["n"].isNotNull() & c["v"].isNotNull(),
+    )
+    out = once(out, {**{f"_raw_{k}": _last(F.col("_pares"), k) for k in keys}, "_votos": votes})
     out = out.withColumns(
         {
             **{name: F.col(f"_raw_{k}") for k, name in _TEXT_FIELDS.items()},
@@ -139,22 +145,10 @@ def parse_sms(df: DataFrame, message: str = "mensaje_raw", strict: bool = True)
                 name: F.coalesce(strict_int(F.col(f"_raw_{k}")), F.lit(0).cast("bigint"))
                 for k, name in _COUNT_FIELDS.items()
             },
+            "_numeros": F.col("_votos")["n"],
+            "_tope": F.coalesce(F.array_max(F.col("_votos")["n"]), F.lit(0).cast("bigint")),
         }
     )
-    out = out.withColumn(
-        "_votos",
-        F.transform(
-            F.filter(
-                "_pares",
-                lambda p: _is_candidate(p["clave"])
-                & _number(p["clave"]).isNotNull()
-                & strict_int(p["valor"]).isNotNull(),
-            ),
-            lambda p: F.struct(_number(p["clave"]).alias("n"), strict_int(p["valor"]).alias("v")),
-        ),
-    )
-    out = out.withColumn("_numeros", F.col("_votos")["n"])
-    out = out.withColumn("_tope", F.coalesce(F.array_max("_numeros"), F.lit(0).cast("bigint")))
 
     def candidate(n):
         return F.struct(

@@ -13,12 +13,15 @@ aggregation shrinks a hot key to one row per map task) and then joined back:
 No row is dropped, capped or sampled on the way.
 """
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
 HOT_ROWS = 100_000
 SALTS = 4096
+_SHIFT = Decimal(10**19)
 
 
 def attach(
@@ -68,8 +71,33 @@ def attach(
     return joined.select(*df.columns, *[fact[n].alias(n) for n in facts])
 
 
-def first_wins(df: DataFrame, key: str, order: list[str], row_id: str = "seq") -> DataFrame:
-    """Keep the earliest row per key. One aggregation, one join on the unique row id."""
-    earliest = F.min(F.struct(*dict.fromkeys([*order, row_id])))
-    firsts = df.groupBy(key).agg(earliest.alias("_f"))
-    return df.join(firsts.select(F.col(f"_f.{row_id}").alias(row_id)), row_id, "left_semi")
+def stamp(when: Column, seq: Column, bit: Column | None = None) -> Column:
+    """Arrival order (and one flag) as a single fixed-width number.
+
+    The minimum of a number is kept in place by hash aggregation; the minimum of a struct
+    would sort all rows first. ``seq`` is unique, not negative and below 10**18.
+    """
+    time = F.unix_micros(when).cast("decimal(18,0)") * F.lit(_SHIFT)
+    low = seq.cast("bigint") * 10
+    if bit is not None:
+        low = low + bit.cast("int")
+    return (time + low.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def stamp_seq(c: Column) -> Column:
+    """The sequence number in a stamp."""
+    return F.floor(F.pmod(c, F.lit(_SHIFT)) / 10).cast("bigint")
+
+
+def stamp_bit(c: Column) -> Column:
+    return F.pmod(c, F.lit(10).cast("decimal(2,0)")) == 1
+
+
+def first_wins(df: DataFrame, key: str, order: Column) -> DataFrame:
+    """Keep the earliest row per key; ``order`` is a number or stamp unique to each row.
+
+    The winners are joined back on that number, which is even whatever the keys look like.
+    """
+    marked = df.withColumn("_orden", order)
+    firsts = marked.groupBy(key).agg(F.min("_orden").alias("_orden")).select("_orden")
+    return marked.join(firsts, "_orden", "left_semi").drop("_orden")

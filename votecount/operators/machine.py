@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from votecount import constants as K
 from votecount.functions.sms import authorised, parse_sms, sms_hash, sms_to_sheet
 from votecount.operators import inconsistencies as inc
-from votecount.operators.groups import attach
+from votecount.functions.steps import once
+from votecount.operators.groups import attach, stamp, stamp_bit, stamp_seq
 from votecount.operators.lineage import cut
 from votecount.operators.validation import validate_sheets
 
@@ -34,11 +35,8 @@ _PREVIOUS = ("votos_validos", "votos_nulos", "votos_blancos", "departamento", "h
 
 
 def hashed(messages: DataFrame, policy: SmsPolicy) -> DataFrame:
-    return messages.withColumns(
-        {
-            "hash_mensaje": sms_hash(F.col("mensaje_raw")),
-            "autorizado": authorised(F.col("telefono"), policy.phones),
-        }
+    return once(messages, {"hash_mensaje": sms_hash(F.col("mensaje_raw"))}).withColumn(
+        "autorizado", authorised(F.col("telefono"), policy.phones)
     )
 
 
@@ -48,18 +46,18 @@ def mark_duplicate_hash(messages: DataFrame, registered: DataFrame | None = None
     Every earlier copy counts, also one that was refused. ``registered`` holds hashes (with
     the sheet id noted for them) that were stored before this set.
     """
-    order = F.struct("fecha_recepcion", "seq")
-    facts = {"_primero": F.min_by(F.struct("seq", "autorizado"), order)}
-    out = attach(messages, "hash_mensaje", facts, "seq", min_rows=2)
-    earlier = F.col("_primero").isNotNull() & (F.col("_primero.seq") != F.col("seq"))
-    out = out.withColumn("previo_autorizado", F.when(earlier, F.col("_primero.autorizado")))
+    arrival = stamp(F.col("fecha_recepcion"), F.col("seq"), F.col("autorizado"))
+    out = attach(messages, "hash_mensaje", {"_primero": F.min(arrival)}, "seq", min_rows=2)
+    first = F.col("_primero")
+    earlier = first.isNotNull() & (stamp_seq(first) != F.col("seq"))
+    out = out.withColumn("previo_autorizado", F.when(earlier, stamp_bit(first)))
     if registered is None:
         out = out.withColumn("acta_registrada", F.lit(None).cast("string"))
     else:
         known = registered.select("hash_mensaje", F.col("acta_id").alias("acta_registrada"))
         out = out.join(known, "hash_mensaje", "left")
-    first = ~earlier & F.col("acta_registrada").isNull()
-    return out.withColumn("es_primero", first).drop("_primero")
+    alone = ~earlier & F.col("acta_registrada").isNull()
+    return out.withColumn("es_primero", alone).drop("_primero")
 
 
 def sms_outcomes(
@@ -179,7 +177,7 @@ def issues_of(outcomes: DataFrame) -> DataFrame:
 STORED, SAME_FILE, SAME_SHEET = "GUARDADA", "DUPLICADO_HASH", "DUPLICADO_ACTA"
 
 
-def greedy_first(files: DataFrame, spark_conf_rounds: int = 50) -> DataFrame:
+def greedy_first(files: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Which files are stored when each one needs a hash and an id not stored before.
 
     A file is settled as stored when it is the earliest of its hash and of its id among the
@@ -191,15 +189,13 @@ def greedy_first(files: DataFrame, spark_conf_rounds: int = 50) -> DataFrame:
     Input columns: seq, fecha_recepcion, hash_origen, acta_id. Output: seq, resultado and
     ``previo`` (seq of the stored file that blocks it, NULL for stored ones).
     """
-    order = F.struct("fecha_recepcion", "seq")
-    open_ = cut(files.select("seq", "fecha_recepcion", "hash_origen", "acta_id"))
+    arrival = stamp(F.col("fecha_recepcion"), F.col("seq")).alias("orden")
+    open_ = cut(files.select("seq", arrival, "hash_origen", "acta_id"))
     settled = None
-    for _ in range(spark_conf_rounds):
-        by_hash = open_.groupBy("hash_origen").agg(F.min(order).alias("_h"))
-        by_id = open_.groupBy("acta_id").agg(F.min(order).alias("_i"))
-        first_hash = by_hash.select(F.col("_h.seq").alias("seq"))
-        first_id = by_id.select(F.col("_i.seq").alias("seq"))
-        stored = cut(open_.join(first_hash, "seq", "left_semi").join(first_id, "seq", "left_semi"))
+    for _ in range(max_rounds):
+        first_hash = open_.groupBy("hash_origen").agg(F.min("orden").alias("orden")).select("orden")
+        first_id = open_.groupBy("acta_id").agg(F.min("orden").alias("orden")).select("orden")
+        stored = cut(open_.join(first_hash, "orden", "left_semi").join(first_id, "orden", "left_semi"))
         per_hash = stored.select("hash_origen", F.col("seq").alias("_sh"))
         per_id = stored.select("acta_id", F.col("seq").alias("_si"))
         seen = open_.join(per_hash, "hash_origen", "left").join(per_id, "acta_id", "left")
@@ -209,7 +205,7 @@ def greedy_first(files: DataFrame, spark_conf_rounds: int = 50) -> DataFrame:
             .when(F.col("_si").isNotNull(), SAME_SHEET)
         )
         judged = cut(seen.select(
-            "seq", "fecha_recepcion", "hash_origen", "acta_id", result.alias("resultado"),
+            "seq", "orden", "hash_origen", "acta_id", result.alias("resultado"),
             F.when(result != STORED, F.coalesce("_sh", "_si")).alias("previo"),
         ))
         done = judged.where(F.col("resultado").isNotNull()).select("seq", "resultado", "previo")

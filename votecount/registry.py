@@ -17,7 +17,7 @@ from votecount.operators import lookups as lk
 from votecount.operators import machine as mach
 from votecount.operators import official as off
 from votecount.operators import validation as val
-from votecount.operators.groups import attach, first_wins
+from votecount.operators.groups import attach, first_wins, stamp
 from votecount.plans import dashboard as dash
 from votecount.plans import extensions as ext
 from votecount.plans import query_bank as qb
@@ -147,7 +147,7 @@ def limit_scan(e):
 @query
 def insert_if_absent_rows(e):
     """Submitted rows to append: first per sheet, unless the store has the sheet."""
-    return insert_if_absent(e.submitted, e.transcribed, "codigo_acta", ["fila"], "fila").select(
+    return insert_if_absent(e.submitted, e.transcribed, "codigo_acta", F.col("fila")).select(
         "fila", "codigo_acta")
 
 
@@ -509,7 +509,7 @@ def sms_duplicates(e):
 
 @query
 def first_sheet_wins(e):
-    return first_wins(e.arriving, "acta_id", ["fecha_recepcion"]).select("seq", "acta_id", "tipo_entrada")
+    return first_wins(e.arriving, "acta_id", stamp(F.col("fecha_recepcion"), F.col("seq"))).select("seq", "acta_id", "tipo_entrada")
 
 
 @query

@@ -1,6 +1,6 @@
 """Writers: insert-if-absent, event and log appends, snapshot swap, seeding."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votecount.operators.groups import first_wins
@@ -8,10 +8,10 @@ from votecount.operators.official import to_official_tables
 
 
 def insert_if_absent(
-    new: DataFrame, existing: DataFrame | None, key: str, order: list[str], row_id: str
+    new: DataFrame, existing: DataFrame | None, key: str, order: Column
 ) -> DataFrame:
     """Rows of ``new`` to append: the first per key, and only keys not stored yet."""
-    fresh = first_wins(new, key, order, row_id)
+    fresh = first_wins(new, key, order)
     if existing is None:
         return fresh
     return fresh.join(existing.select(key), key, "left_anti")
@@ -28,17 +28,17 @@ def read_store(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if exists(spark, path) else None
 
 
-def append_sheets(sheets: DataFrame, path: str, order: list[str], row_id: str) -> None:
+def append_sheets(sheets: DataFrame, path: str, order: Column) -> None:
     """Store sheets whose id and source hash are both new."""
     stored = read_store(sheets.sparkSession, path)
-    by_id = insert_if_absent(sheets, stored, "acta_id", order, row_id)
-    insert_if_absent(by_id, stored, "hash_origen", order, row_id).write.mode("append").parquet(path)
+    by_id = insert_if_absent(sheets, stored, "acta_id", order)
+    insert_if_absent(by_id, stored, "hash_origen", order).write.mode("append").parquet(path)
 
 
-def append_sms(register: DataFrame, path: str, order: list[str], row_id: str) -> None:
+def append_sms(register: DataFrame, path: str, order: Column) -> None:
     """Store register rows; a second row for the same text is lost silently."""
     stored = read_store(register.sparkSession, path)
-    insert_if_absent(register, stored, "hash_mensaje", order, row_id).write.mode("append").parquet(path)
+    insert_if_absent(register, stored, "hash_mensaje", order).write.mode("append").parquet(path)
 
 
 def append_events(events: DataFrame, path: str) -> None:
