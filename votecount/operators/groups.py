@@ -10,6 +10,9 @@ aggregation shrinks a hot key to one row per map task) and then joined back:
   cannot match there, so no partition receives a hot key. Every other key holds less than
   1/``HOT_KEYS`` of the rows, because ``HOT_KEYS`` keys are heavier.
 
+The facts are kept in a checkpoint before they are used (only keys that repeat, where the
+caller asks for that), so the input is aggregated once however often they are read.
+
 No row is dropped, capped or sampled on the way.
 """
 
@@ -18,6 +21,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from votecount.operators.lineage import cut
+
 HOT_KEYS = 1000
 HOT_ROWS = 100_000
 SALTS = 4096
@@ -45,7 +50,7 @@ def attach(
     # Rows left out share one NULL group instead of being filtered: a filter would be pushed
     # below whatever computes ``among`` and evaluate that twice.
     grouped = df.groupBy(key) if among is None else df.groupBy(F.when(takes_part, F.col(key)).alias(key))
-    packed = (
+    packed = cut(
         grouped.agg(
             F.count(F.lit(1)).alias("_rows"),
             F.max(takes_part).alias("_parte"),
@@ -61,13 +66,17 @@ def attach(
         .select(key, F.col("_facts").alias("_hot"))
     )
     spread = F.pmod(F.xxhash64(row_id), F.lit(SALTS)) + 1
-    alone = F.col("_hot").isNotNull() | ~takes_part | F.col(key).isNull()
-    salted = df.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(alone, spread).otherwise(F.lit(0).cast("bigint"))
-    )
+    alone = ~takes_part | F.col(key).isNull()
+    fact = F.col("_facts")
+    salted = df
+    if not hot.isEmpty():
+        salted = df.join(F.broadcast(hot), key, "left")
+        alone = alone | F.col("_hot").isNotNull()
+        fact = F.coalesce("_hot", "_facts")
+    salted = salted.withColumn("_salt", F.when(alone, spread).otherwise(F.lit(0).cast("bigint")))
     cold = packed.select(key, F.lit(0).cast("bigint").alias("_salt"), "_facts")
     joined = salted.join(cold, [key, "_salt"], "left")
-    fact = F.when(takes_part, F.coalesce("_hot", "_facts"))
+    fact = F.when(takes_part, fact)
     return joined.select(*df.columns, *[fact[n].alias(n) for n in facts])
 
 
