@@ -87,9 +87,9 @@ def stamp(when: Column, seq: Column, bit: Column | None = None) -> Column:
     would sort all rows first. ``seq`` is unique, not negative and below 10**18.
     """
     time = F.unix_micros(when).cast("decimal(18,0)") * F.lit(_SHIFT)
-    low = seq.cast("bigint") * 10
+    low = seq.cast("decimal(18,0)") * F.lit(Decimal(10))
     if bit is not None:
-        low = low + bit.cast("int")
+        low = low + bit.cast("int").cast("decimal(1,0)")
     return (time + low.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 

@@ -180,42 +180,47 @@ STORED, SAME_FILE, SAME_SHEET = "GUARDADA", "DUPLICADO_HASH", "DUPLICADO_ACTA"
 def greedy_first(files: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Which files are stored when each one needs a hash and an id not stored before.
 
-    A file is settled as stored when it is the earliest of its hash and of its id among the
-    files still open, and everything that shares a hash or id with a stored file is settled
-    as a duplicate. That repeats until nothing is open; nearly always after one round,
-    because the text decides the id unless only the file name holds the code. Each round
-    is cut off from the ones before, so lost executors replay one round only.
+    A file is stored when it is the earliest of its hash and of its id among the files still
+    open; whatever shares a hash or id with it can then no longer be stored. That repeats
+    until nothing is open; nearly always after one round, because the text decides the id
+    unless only the file name holds the code. Each round is cut off from the ones before, so
+    lost executors replay one round only.
 
     Input columns: seq, fecha_recepcion, hash_origen, acta_id. Output: seq, resultado and
     ``previo`` (seq of the stored file that blocks it, NULL for stored ones).
     """
     arrival = stamp(F.col("fecha_recepcion"), F.col("seq")).alias("orden")
-    open_ = cut(files.select("seq", arrival, "hash_origen", "acta_id"))
-    settled = None
+    every = cut(files.select("seq", arrival, "hash_origen", "acta_id"))
+    open_, stored = every, None
     for _ in range(max_rounds):
         first_hash = open_.groupBy("hash_origen").agg(F.min("orden").alias("orden")).select("orden")
         first_id = open_.groupBy("acta_id").agg(F.min("orden").alias("orden")).select("orden")
-        stored = cut(open_.join(first_hash, "orden", "left_semi").join(first_id, "orden", "left_semi"))
-        per_hash = stored.select("hash_origen", F.col("seq").alias("_sh"))
-        per_id = stored.select("acta_id", F.col("seq").alias("_si"))
-        seen = open_.join(per_hash, "hash_origen", "left").join(per_id, "acta_id", "left")
-        result = (
-            F.when(F.col("_sh") == F.col("seq"), STORED)
-            .when(F.col("_sh").isNotNull(), SAME_FILE)
-            .when(F.col("_si").isNotNull(), SAME_SHEET)
+        fresh = cut(open_.join(first_hash, "orden", "left_semi").join(first_id, "orden", "left_semi"))
+        stored = fresh if stored is None else stored.unionByName(fresh)
+        open_ = cut(
+            open_.join(fresh.select("hash_origen"), "hash_origen", "left_anti").join(
+                fresh.select("acta_id"), "acta_id", "left_anti"
+            )
         )
-        judged = cut(seen.select(
-            "seq", "orden", "hash_origen", "acta_id", result.alias("resultado"),
-            F.when(result != STORED, F.coalesce("_sh", "_si")).alias("previo"),
-        ))
-        done = judged.where(F.col("resultado").isNotNull()).select("seq", "resultado", "previo")
-        settled = done if settled is None else settled.unionByName(done)
-        open_ = judged.where(F.col("resultado").isNull()).drop("resultado", "previo")
         if open_.isEmpty():
-            return settled
+            return _label(every, stored)
     raise RuntimeError("files still open after the last round")
 
 
+def _label(every: DataFrame, stored: DataFrame) -> DataFrame:
+    """What each file ran into, as things stood when it arrived; the hash is checked first."""
+    per_hash = stored.select("hash_origen", F.col("seq").alias("_sh"), F.col("orden").alias("_oh"))
+    per_id = stored.select("acta_id", F.col("seq").alias("_si"))
+    seen = every.join(per_hash, "hash_origen", "left").join(per_id, "acta_id", "left")
+    result = (
+        F.when(F.col("_sh") == F.col("seq"), STORED)
+        .when(F.col("_oh") < F.col("orden"), SAME_FILE)
+        .otherwise(SAME_SHEET)
+    )
+    blocker = F.when(result == SAME_FILE, F.col("_sh")).when(result == SAME_SHEET, F.col("_si"))
+    return seen.select("seq", result.alias("resultado"), blocker.alias("previo"))
+
+
 def upload_outcomes(
     files: DataFrame, reference: DataFrame, keep_parser_errors: bool = False
 ) -> DataFrame:
