@@ -4,9 +4,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Every Unicode white space character (fixed values).
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def trim_all(c: Column) -> Column:
-    """Strip every kind of white space from both ends (Spark's trim strips blanks only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Strip every kind of white space from both ends (plain trim strips blanks only)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def strict_int(c: Column) -> Column:

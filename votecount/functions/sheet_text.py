@@ -114,7 +114,7 @@ def ocr_code(text: Column) -> Column:
 
 def ocr_precinct(text: Column, lines: Column) -> Column:
     """Place on the label's own line, or on the line below it."""
-    same_line = trim_all(F.regexp_extract(text, P_PRECINCT, 1))
+    same_line = F.nullif(trim_all(F.regexp_extract(text, P_PRECINCT, 1)), F.lit(""))
     below = F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit("")))
 
     def value(line, following):
@@ -128,7 +128,7 @@ def ocr_precinct(text: Column, lines: Column) -> Column:
         )
 
     labelled = F.get(F.array_compact(F.zip_with(lines, below, value)), 0)
-    return F.when(same_line != "", same_line).otherwise(F.coalesce(labelled, F.lit("")))
+    return F.coalesce(same_line, labelled, F.lit(""))
 
 
 def decode_triplets(t: Column) -> dict[str, Column]:
@@ -191,25 +191,24 @@ def parse_sheet_text(df: DataFrame, strict_annul: bool = False) -> DataFrame:
         F.col("_codigo") != "", _first(F.filter(after_code, lambda x: x.rlike(r"^[0-9]{1,2}\z")))
     )
     emb_place = F.when(F.octet_length(line(4)) > F.octet_length(line(3)), line(4)).otherwise(line(3))
-    ocr_department = trim_all(F.regexp_extract(text, P_DEPARTMENT, 1))
-    out = once(
-        out,
+    filled = lambda c: F.nullif(c, F.lit(""))
+    labelled = lambda p: trim_all(F.regexp_extract(text, p, 1))
+    # The place names are read by nothing below, so they stay a projection that is dropped
+    # where nobody asks for them.
+    out = out.withColumns(
         {
             "departamento": F.coalesce(
                 emb_line(line(0)),
-                ocr_text(
-                    F.when(ocr_department != "", ocr_department).otherwise(
-                        department_from_text(text)
-                    )
-                ),
-            ),
-            "provincia": F.coalesce(
-                emb_line(line(1)), ocr_text(trim_all(F.regexp_extract(text, P_PROVINCE, 1)))
-            ),
-            "municipio": F.coalesce(
-                emb_line(line(2)), ocr_text(trim_all(F.regexp_extract(text, P_MUNICIPALITY, 1)))
+                ocr_text(F.coalesce(filled(labelled(P_DEPARTMENT)), department_from_text(text))),
             ),
+            "provincia": F.coalesce(emb_line(line(1)), ocr_text(labelled(P_PROVINCE))),
+            "municipio": F.coalesce(emb_line(line(2)), ocr_text(labelled(P_MUNICIPALITY))),
             "recinto": F.coalesce(emb_line(emb_place), ocr_text(ocr_precinct(text, lines))),
+        }
+    )
+    out = once(
+        out,
+        {
             "_codigo": F.when(F.col("_corto"), "").otherwise(F.col("_codigo")),
             "_mesa": F.coalesce(
                 emb_line(emb_table), ocr_text(digits_only(F.regexp_extract(text, P_TABLE, 1)))
