@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from votecount.llm import quality
+from votecount.llm import packing, quality, tokens, urls
 from votecount.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,20 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules,)}
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, folder, "documents"), "byte_bpe_50k.json")
 
-ORACLE: dict[str, str] = {"op1_quality_rules": quality.SQL}
+
+def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark))
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), "word_bpe_49k.json")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_quality_rules, op4_token_counts, op6_url_filters, op9_packing)
+}
+
+ORACLE: dict[str, str] = {"op1_quality_rules": quality.SQL, "op6_url_filters": urls.SQL}
