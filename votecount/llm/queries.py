@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from votecount.llm import packing, quality, tokens, urls
+from votecount.llm import decontaminate, packing, quality, tokens, urls, warc
 from votecount.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,33 @@ def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.verdicts(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, folder, "pages"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), "word_bpe_49k.json")
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_quality_rules, op4_token_counts, op6_url_filters, op9_packing)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op4_token_counts,
+        op6_url_filters,
+        op7_benchmark_decontamination,
+        op8_warc,
+        op9_packing,
+    )
 }
 
-ORACLE: dict[str, str] = {"op1_quality_rules": quality.SQL, "op6_url_filters": urls.SQL}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": quality.SQL,
+    "op6_url_filters": urls.SQL,
+    "op7_benchmark_decontamination": decontaminate.SQL,
+    "op8_warc": warc.SQL,
+}
