@@ -53,3 +53,8 @@ def fresh(key: Column) -> Column:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def fresh_long(key: Column) -> Column:
+    """``fresh`` for a number."""
+    return key.cast("bigint").bitwiseXOR(F.lit(0x5DEECE66D))

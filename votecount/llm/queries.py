@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from votecount.llm import decontaminate, packing, quality, tokens, urls, warc
+from votecount.llm import decontaminate, minhash, packing, quality, substring, tokens, urls, warc
 from votecount.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), "byte_bpe_50k.json")
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.report(table(spark, folder, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark))
 
@@ -36,15 +40,21 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), "word_bpe_49k.json")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.groups(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
         op4_token_counts,
+        op5_substring_dedup,
         op6_url_filters,
         op7_benchmark_decontamination,
         op8_warc,
         op9_packing,
+        op10_minhash_near_dedup,
     )
 }
 
@@ -53,4 +63,5 @@ ORACLE: dict[str, str] = {
     "op6_url_filters": urls.SQL,
     "op7_benchmark_decontamination": decontaminate.SQL,
     "op8_warc": warc.SQL,
+    "op10_minhash_near_dedup": minhash.SQL,
 }
