@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from votecount.llm import decontaminate, minhash, packing, quality, substring, tokens, urls, warc
+from votecount.llm import decontaminate, langid, minhash, packing, quality, substring, tokens, toxicity, urls, warc
 from votecount.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.learn_and_identify(table(spark, folder, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), "byte_bpe_50k.json")
 
@@ -48,6 +56,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_toxicity,
+        op3_language_id,
         op4_token_counts,
         op5_substring_dedup,
         op6_url_filters,
