@@ -102,8 +102,9 @@ def common_counts(items: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     total = np.zeros((m, m))
-    width = max(1024, (1 << 22) // m)
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    n = int(column[-1]) + 1 if len(column) else 0
+    width = min(n, max(1024, (1 << 22) // m))
+    for first in range(0, n, width or 1):
         low, high = np.searchsorted(column, [first, first + width])
         matrix = np.zeros((m, width), np.float32)
         matrix[owner[low:high], column[low:high] - first] = 1
