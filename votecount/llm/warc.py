@@ -5,7 +5,7 @@ its own, followed by an empty skippable frame, which decoders pass over. That em
 same time the row separator of Spark's text writer and reader, so archives go through the usual
 commit protocol to any store (a lost executor's file is written again, never half a file), and
 are read back in splits however large they are, one record at a time. The dictionary is trained
-once on a bounded sample of records (``SAMPLE_ROWS`` rows by the hash of their payload, of each
+once on a bounded sample of records (``SAMPLE_ROWS`` payloads, the smallest by digest, of each
 its first ``SAMPLE_BYTES``) and embedded in every archive; with too few records there is none.
 
 Records of equal payload: the one with the smallest page id is a response, the others are revisits
@@ -100,14 +100,13 @@ def parse(data: bytes) -> dict:
 
 def train(pages: DataFrame) -> bytes | None:
     """A dictionary from a bounded sample of the records, or none if they are too few."""
-    sample = (
-        pages.select("_id", "_url", F.substring(F.col("_payload").cast("binary"), 1, SAMPLE_BYTES).alias("p"), "_sha")
-        .dropDuplicates(["_sha"])
-        .orderBy("_sha")
-        .limit(SAMPLE_ROWS)
-        .collect()
+    # First the digests alone, then the payloads of the smallest ones.
+    first = pages.select("_sha").distinct().orderBy("_sha").limit(SAMPLE_ROWS).agg(F.max("_sha")).first()[0]
+    sample = pages.where(F.col("_sha") <= F.lit(first or "")).groupBy("_sha").agg(
+        F.min("_id").alias("_id"), F.min(F.substring(F.col("_payload").cast("binary"), 1, SAMPLE_BYTES)).alias("p")
     )
-    records = [record(r._id, r._url, bytes(r.p), sha1=r._sha) for r in sample]
+    sample = sample.orderBy("_sha").collect()
+    records = [record(r._id, None, bytes(r.p), sha1=r._sha) for r in sample]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
     except zstandard.ZstdError:
