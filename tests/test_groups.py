@@ -19,11 +19,9 @@ def skewed(spark, n=400, seed=1):
     return rows, spark.createDataFrame(rows, "seq long, key string, v long")
 
 
-@pytest.mark.parametrize("hot_rows, hot_keys", [(10**9, 10), (20, 1), (2, 3), (1, 100)])
-def test_attach_equals_a_window(spark, hot_rows, hot_keys):
+def test_attach_equals_a_window(spark):
     rows, df = skewed(spark)
-    got = groups.attach(df, "key", {"total": F.sum("v"), "primero": F.min("seq")}, "seq",
-                        among=F.col("v") > 2, hot_rows=hot_rows, hot_keys=hot_keys)
+    got = groups.attach(df, "key", {"total": F.sum("v"), "primero": F.min("seq")}, "seq", among=F.col("v") > 2)
     found = {r.seq: (r.total, r.primero) for r in got.collect()}
     for seq, key, v in rows:
         members = [(s, x) for s, k, x in rows if k == key and x > 2]
@@ -38,12 +36,28 @@ def test_attach_leaves_out_small_groups(spark):
     assert {r.seq: r.primero for r in got.collect()} == {1: 1, 2: 1, 3: None}
 
 
-def test_hot_keys_are_spread_in_the_join(spark):
-    df = spark.range(2000).select(F.col("id").alias("seq"), F.lit("hot").alias("key"))
-    got = groups.attach(df, "key", {"n": F.count(F.lit(1))}, "seq", hot_rows=10)
-    assert got.where("n = 2000").count() == 2000
-    salted = df.select((F.pmod(F.xxhash64("seq"), F.lit(groups.SALTS)) + 1).alias("s"))
-    assert salted.distinct().count() > 1000
+def test_a_hot_key_is_split_at_run_time(spark):
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5000))
+        df = spark.range(0, 200_000, 1, 8).select(F.col("id").alias("seq"), key.alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        got = groups.attach(df, "key", {"n": F.count(F.lit(1))}, "seq")
+        assert got.where("n > 60000").count() == 66_667
+        taken = got.select("seq", "n", "text")
+        taken.collect()
+        assert "skew=true" in taken._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_stamp_orders_and_decodes(spark):
@@ -62,6 +76,15 @@ def test_first_wins(spark):
     assert {r.key: r.seq for r in kept} == {"a": 1, "b": 4}
 
 
+def test_first_wins_without_a_time_or_an_order(spark):
+    df = spark.createDataFrame(
+        [("a", 2, None), ("a", 1, T0), ("b", 3, None), ("b", 4, None), (None, 5, None)], "key string, seq long, t timestamp")
+    kept = groups.first_wins(df, "key", groups.stamp(F.col("t"), F.col("seq"))).collect()
+    assert {r.key: r.seq for r in kept} == {"a": 1, "b": 3, None: 5}
+    bare = groups.first_wins(df, "key", F.when(F.col("t").isNotNull(), F.col("seq"))).collect()
+    assert sorted(r.key or "" for r in bare) == ["", "a", "b"] and {r.seq for r in bare if r.key == "a"} == {1}
+
+
 def brute_force(rows):
     """rows in arrival order: (seq, hash, id) -> result and blocking seq."""
     hashes, ids, out = {}, {}, {}

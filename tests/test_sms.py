@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from votecount import schemas
+from votecount.functions import sms
 from votecount.functions.sms import parse_sms, parse_sms_star
-from votecount.operators import groups
 from votecount.operators import machine as m
 from votecount.operators.events import format_error_text, notification_outbox, sms_events
 
@@ -66,8 +66,8 @@ def test_clean_message(spark):
     ],
 )
 def test_errors(spark, message, errors):
-    (r,) = parse(spark, message)
-    assert r.errores_parseo == errors
+    df = parse_sms(frame(spark, [("+1", message)]))
+    assert df.select(sms.first_errors(100).alias("e")).first().e == errors
 
 
 def test_keys_are_trimmed_and_later_ones_win(spark):
@@ -78,7 +78,20 @@ def test_keys_are_trimmed_and_later_ones_win(spark):
 
 def test_a_huge_gap_does_not_blow_up(spark):
     (r,) = parse(spark, text().replace("C2:6", "C2000000000:6"))
-    assert r.errores_parseo == ["candidatos C2 a C1999999999 faltantes en la secuencia"]
+    assert [tuple(x) for x in r.huecos] == [(2, 1999999999)] and r.errores_parseo == []
+    assert [c.candidato_id for c in r.candidatos] == ["C1", "C2000000000"]
+
+
+@pytest.mark.parametrize("top", [2, 3, 7, 1002, 1003, 5002])
+def test_gaps_of_any_length_obey_one_rule(spark, top):
+    df = parse_sms(frame(spark, [("+1", text().replace("C2:6", f"C{top}:6"))]))
+    wanted = [f"candidato C{n} faltante en la secuencia" for n in range(2, top)]
+    lines = sms.error_lines(df).orderBy("orden").collect()
+    assert [(r.parte, r.orden, r.error) for r in lines] == [(2, n, e) for n, e in enumerate(wanted, 2)]
+    r = df.select(sms.error_count().alias("n"), sms.first_errors(3).alias("f"), sms.malformed().alias("m")).first()
+    assert (r.n, r.f, r.m) == (len(wanted), wanted[:3], top > 2)
+    votes = {c.candidato_id: c.votos for c in sms.candidate_lines(df).collect()}
+    assert votes == {f"C{n}": {1: 4, top: 6}.get(n, 0) for n in range(1, top + 1)}
 
 
 def test_lenient_reading_has_no_errors(spark):
@@ -141,11 +154,9 @@ def crowd(n, seed):
     return out
 
 
-@pytest.mark.parametrize("hot_rows, hot_keys", [(10**6, 5), (2, 1), (3, 100)])
-def test_machine_agrees_with_one_at_a_time(spark, monkeypatch, hot_rows, hot_keys):
-    monkeypatch.setattr(groups, "HOT_ROWS", hot_rows)
-    monkeypatch.setattr(groups, "HOT_KEYS", hot_keys)
-    messages = crowd(150, 3)
+@pytest.mark.parametrize("seed", [3, 4])
+def test_machine_agrees_with_one_at_a_time(spark, seed):
+    messages = crowd(150, seed)
     outcomes = m.sms_outcomes(frame(spark, messages), POLICY)
     got = {r.seq: r.estado_sms for r in outcomes.select("seq", "estado_sms").collect()}
     expected = sequential(messages)

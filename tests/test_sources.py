@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from votecount.sources import readers as rd
@@ -58,6 +59,16 @@ def test_mesas_read_four_columns(spark, tmp_path):
     assert "NroMesa" in schema and "P1" not in schema and "Observaciones" not in schema
 
 
+def test_files_of_one_folder_order_their_columns_as_they_like(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text('CodigoActa,NroMesa,P1,Observaciones\n1,2,3,"one\nnote, two lines"\n')
+    (tmp_path / "b.csv").write_text("P1,CodigoActa,P2\n30,10,40\n31,11,41\n")
+    (tmp_path / "c.csv").write_text("P1,CodigoActa,P2\n32,12,42\n")
+    got = {r.codigo_acta: r for r in rd.read_transcriptions(spark, str(tmp_path)).collect()}
+    assert {k: (r.nro_mesa, r.p1, r.p2) for k, r in got.items()} == {
+        1: (2, 3, 0), 10: (0, 30, 40), 11: (0, 31, 41), 12: (0, 32, 42)}
+    assert got[1].observaciones == "one\nnote, two lines"
+
+
 def test_texts_and_inventory(spark, tmp_path):
     (tmp_path / "acta_1.txt").write_text("uno\ndos")
     (tmp_path / "a.PDF").write_bytes(b"x")
@@ -81,11 +92,26 @@ def test_append_sms_loses_repeats_silently(spark, tmp_path):
     assert [(r.seq, r.acta_id) for r in got] == [(1, "x"), (4, "w")]
 
 
+def arriving(spark, *rows):
+    df = spark.createDataFrame(list(rows), "seq long, acta_id string, hash_origen string")
+    return df.withColumn("fecha_recepcion", F.timestamp_seconds("seq"))
+
+
+@pytest.mark.parametrize("calls", [[3], [1, 2], [1, 1, 1]])
+def test_a_refused_sheet_does_not_stand_in_the_way(spark, tmp_path, calls):
+    rows = [(1, "A", "h1"), (2, "B", "h1"), (3, "B", "h2")]
+    path = str(tmp_path / "sheets")
+    for n in calls:
+        sk.append_sheets(arriving(spark, *rows[:n]), path)
+        rows = rows[n:]
+    assert sorted(r.seq for r in spark.read.parquet(path).collect()) == [1, 3]
+
+
 def test_append_sheets_needs_new_id_and_new_hash(spark, tmp_path):
     path = str(tmp_path / "sheets")
-    df = lambda *rows: spark.createDataFrame(list(rows), "seq long, acta_id string, hash_origen string")
-    sk.append_sheets(df((1, "A", "h1"), (2, "A", "h2"), (3, "B", "h1")), path, F.col("seq"))
-    sk.append_sheets(df((4, "C", "h1"), (5, "A", "h9"), (6, "D", "h6")), path, F.col("seq"))
+    df = lambda *rows: arriving(spark, *rows)
+    sk.append_sheets(df((1, "A", "h1"), (2, "A", "h2"), (3, "B", "h1")), path)
+    sk.append_sheets(df((4, "C", "h1"), (5, "A", "h9"), (6, "D", "h6")), path)
     assert sorted(r.seq for r in spark.read.parquet(path).collect()) == [1, 6]
 
 
@@ -93,7 +119,8 @@ def test_snapshot_versions(spark, tmp_path):
     root = str(tmp_path / "snap")
     assert sk.read_snapshot(spark, root) is None
     for n in (1, 2):
-        sk.write_snapshot(spark.range(n, n + 1), root)
+        sk.write_snapshot(spark.range(n, n + 1), root, n)
+    sk.write_snapshot(spark.range(2, 3), root, 2)
     (tmp_path / "snap" / "version=9").mkdir()
     (r,) = sk.read_snapshot(spark, root).collect()
     assert r.id == 2 and r.ultima_actualizacion is not None

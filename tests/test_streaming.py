@@ -67,6 +67,20 @@ def test_a_repeated_batch_takes_effect_once(spark, tmp_path):
     assert sheets.count() == sheets.select("acta_id").distinct().count()
 
 
+def test_a_batch_reads_only_its_own_prefixes(spark, tmp_path):
+    store = ss.Store(str(tmp_path / "store"))
+    ss.process_batch(frame(spark, crowd(60, 5)), 0, store, POLICY)
+    every = store.read(spark, store.register).inputFiles()
+    few = frame(spark, crowd(60, 5)[:3])
+    wanted = ss.prefixes_of(few, ss.sms_hash(F.col("mensaje_raw")))
+    read = store.read(spark, store.register, 1, wanted)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "prefijo" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    places = {r.prefijo for r in read.select("prefijo").distinct().collect()}
+    assert places == set(wanted) and len(wanted) < len(every)
+    assert read.select("hash_mensaje").distinct().count() >= len(wanted)
+
+
 def test_dedup_within_watermark(spark, tmp_path):
     inbox = str(tmp_path / "in")
     frame(spark, [("+1", "a"), ("+1", "a"), ("+1", "b")]).coalesce(1).write.parquet(inbox)
@@ -83,15 +97,6 @@ def _log(spark):
                          F.col("event_type").alias("tipo_evento"), F.col("ts").cast("timestamp").alias("fecha"))
 
 
-def test_latest_state_stream(spark, tmp_path):
-    log = _log(spark)
-    folder = str(tmp_path / "log")
-    log.repartition(4).write.parquet(folder)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    views.latest_state_stream(stream, "ultimo", str(tmp_path / "cp")).awaitTermination(120)
-    assert sorted(spark.table("ultimo").collect()) == sorted(latest_state(log).collect())
-
-
 def test_latest_state_updates(spark, tmp_path):
     log = _log(spark)
     folder, out = str(tmp_path / "log"), str(tmp_path / "out")

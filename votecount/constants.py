@@ -19,25 +19,8 @@ TACHADURA_NUMEROS = "TACHADURA_NUMEROS"
 FALTA_FIRMAS_HUELLAS = "FALTA_FIRMAS_HUELLAS"
 ROTURA_CRITICA = "ROTURA_CRITICA"
 VOTOS_MAYOR_QUE_VOTANTES = "VOTOS_MAYOR_QUE_VOTANTES"
-ANNULMENT_REASONS = (
-    TEXTO_ANULADA,
-    TEXTO_ANULADA_VISUAL,
-    USO_DE_LAPIZ,
-    USO_DE_CORRECTOR,
-    TACHADURA_NUMEROS,
-    FALTA_FIRMAS_HUELLAS,
-    ROTURA_CRITICA,
-    VOTOS_MAYOR_QUE_VOTANTES,
-)
 
 MANCHA_SOBRE_DATOS = "MANCHA_SOBRE_DATOS"
-OBSERVATION_REASONS = (
-    MANCHA_SOBRE_DATOS,
-    "NUMERO_SOBREESCRITO",
-    "CONFUSION_ALFANUMERICA",
-    "HUELLA_ZONA_NUMEROS",
-    "ACTA_ARRUGADA",
-)
 
 # --- channels (fixed values) --------------------------------------------------
 RRV = "RRV"
@@ -72,7 +55,6 @@ DUPLICADO_DATOS_DIFERENTES = "DUPLICADO_DATOS_DIFERENTES"
 CRITICA = "CRITICA"
 ALTA = "ALTA"
 MEDIA = "MEDIA"
-BAJA = "BAJA"
 
 # --- official row rejections (fixed values) -----------------------------------
 RECHAZO_NO_ENCONTRADA = "Acta no encontrada"
@@ -97,12 +79,6 @@ CANDIDATE_NAMES = {
     "P3": "Robert Baratheon",
     "P4": "Tyrion Lannister",
 }
-PARTY_DIMENSION = (
-    ("P1", "Daenerys Targaryen", "MASISP", "MAS-ISP"),
-    ("P2", "Sansa Stark", "Partido2", "P2"),
-    ("P3", "Robert Baratheon", "Partido3", "P3"),
-    ("P4", "Tyrion Lannister", "Partido4", "P4"),
-)
 
 # --- surnames and the misreadings accepted for them (fixed values) ------------
 SURNAME_SPELLINGS = {

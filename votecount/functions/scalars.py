@@ -56,11 +56,12 @@ def total_or_zero(c) -> Column:
     return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
 
 
-def join_first(items: Column, n: int) -> Column:
-    """First n texts joined, followed by how many more there are."""
+def join_first(items: Column, n: int, total: Column | None = None) -> Column:
+    """First n texts joined, followed by how many more there are (of ``total``, or of ``items``)."""
+    total = F.size(items) if total is None else total
     head = F.array_join(F.slice(items, 1, n), "; ")
-    more = F.concat(F.lit(" (y "), (F.size(items) - n).cast("string"), F.lit(" más)"))
-    return F.when(F.size(items) <= n, F.array_join(items, "; ")).otherwise(F.concat(head, more))
+    more = F.concat(F.lit(" (y "), (total - n).cast("string"), F.lit(" más)"))
+    return F.when(total <= n, head).otherwise(F.concat(head, more))
 
 
 def compact(*items: Column) -> Column:
@@ -73,8 +74,3 @@ def sum_votes(candidates: Column) -> Column:
     return F.aggregate(
         candidates, F.lit(0).cast("bigint"), lambda acc, c: acc + c["votos"].cast("bigint")
     )
-
-
-def votes_of(candidates: Column, n: int) -> Column:
-    """Votes at position n (1-based) of a candidate array, NULL when shorter."""
-    return F.get(candidates, n - 1)["votos"]

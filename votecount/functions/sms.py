@@ -1,8 +1,8 @@
 """Text message parsing with built-in expressions.
 
 A message is a bar-separated list of KEY:VALUE parts. Parsing adds these columns:
-``campos`` (the parts that hold a colon), one column per known field, ``candidatos``
-and ``errores_parseo``. Later parts win over earlier ones with the same key.
+``campos`` (the parts that hold a colon), one column per known field, ``candidatos``,
+``huecos`` and ``errores_parseo``. Later parts win over earlier ones with the same key.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -12,10 +12,6 @@ from votecount import constants as K
 from votecount.functions.scalars import strict_int, trim_all
 from votecount.functions.steps import once
 
-# Longest run of missing candidate numbers that is spelled out one error each; a longer
-# run (C2 next to C900000000) becomes one error that names both ends of the run.
-GAP_ERRORS_SPELLED_OUT = 1000
-
 _TEXT_FIELDS = {"ACTA": "sms_acta", "DEP": "sms_dep", "MUN": "sms_mun", "REC": "sms_rec",
                 "MESA": "sms_mesa", "PIN": "sms_pin"}
 _COUNT_FIELDS = {"VAL": "sms_val", "NUL": "sms_nul", "BLA": "sms_bla"}
@@ -86,45 +82,84 @@ def _field_error(key: str) -> Column:
     return F.when(raw.isNull(), missing).when(strict_int(raw).isNull(), wrong)
 
 
-def _gap_errors() -> Column:
-    """Errors for numbers missing between 1 and the highest candidate number."""
-    numbers, top = F.col("_numeros"), F.col("_tope")
+def _gaps(numbers: Column) -> Column:
+    """Runs of numbers missing between 1 and the highest one, as (desde, hasta)."""
     known = F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n >= 1)))
     # Each run of missing numbers ends right before a known number.
     starts = F.concat(F.array(F.lit(1).cast("bigint")), F.transform(known, lambda n: n + 1))
-    runs = F.filter(
-        F.zip_with(starts, known, lambda a, b: F.struct(a.alias("a"), (b - 1).alias("b"))),
-        lambda r: r["b"].isNotNull() & (r["a"] <= r["b"]),
+    return F.filter(
+        F.zip_with(starts, known, lambda a, b: F.struct(a.alias("desde"), (b - 1).alias("hasta"))),
+        lambda r: r["hasta"].isNotNull() & (r["desde"] <= r["hasta"]),
     )
 
-    def one(n):
-        return F.concat(F.lit("candidato C"), n.cast("string"), F.lit(" faltante en la secuencia"))
-
-    def spelled(r):
-        return F.when(
-            r["b"] - r["a"] < GAP_ERRORS_SPELLED_OUT,
-            F.transform(F.sequence(r["a"], r["b"]), one),
-        ).otherwise(
-            F.array(
-                F.concat(
-                    F.lit("candidatos C"), r["a"].cast("string"),
-                    F.lit(" a C"), r["b"].cast("string"),
-                    F.lit(" faltantes en la secuencia"),
-                )
-            )
-        )
 
-    none = F.array().cast("array<string>")
-    return (
-        F.when(F.size(numbers) == 0, F.array(F.lit("no se encontraron candidatos (C1, C2, C3...)")))
-        .when(top == F.size(known), none)
-        .otherwise(F.flatten(F.transform(runs, spelled)))
+def _gap_error(n: Column) -> Column:
+    return F.concat(F.lit("candidato C"), n.cast("string"), F.lit(" faltante en la secuencia"))
+
+
+def malformed() -> Column:
+    return (F.size("errores_parseo") > 0) | (F.size("huecos") > 0)
+
+
+def error_count() -> Column:
+    """Errors of a parsed message: one for each text and for each missing candidate number."""
+    missing = F.aggregate(
+        "huecos", F.lit(0).cast("bigint"), lambda n, r: n + r["hasta"] - r["desde"] + 1
+    )
+    return F.size("errores_parseo") + missing
+
+
+def first_errors(n: int) -> Column:
+    """The first n error texts; no more of a run is spelled out than can be among them."""
+    heads = F.transform(
+        F.slice("huecos", 1, n),
+        lambda r: F.transform(F.sequence(r["desde"], F.least(r["hasta"], r["desde"] + n - 1)), _gap_error),
+    )
+    return F.slice(F.concat("errores_parseo", F.flatten(heads)), 1, n)
+
+
+_RUN = 1000
+
+
+def _missing_numbers(df: DataFrame) -> DataFrame:
+    """One row per missing number, column ``n``; runs are cut up, so no array is long."""
+    runs = df.withColumn("_r", F.explode("huecos")).withColumn(
+        "_d", F.explode(F.expr(f"sequence(0L, (_r.hasta - _r.desde) div {_RUN})"))
     )
+    piece = F.expr(f"sequence(_r.desde + _d * {_RUN}, least(_r.hasta, _r.desde + _d * {_RUN} + {_RUN - 1}))")
+    return runs.withColumn("n", F.explode(piece)).drop("_r", "_d")
+
+
+def error_lines(df: DataFrame, key: str = "seq") -> DataFrame:
+    """Every error of every message as a row: key, parte, orden, error.
+
+    Parte 1 holds the errors of the parts and fields in their order, parte 2 the candidate
+    numbers missing, by number.
+    """
+    texts = df.select(key, F.lit(1).alias("parte"), F.posexplode("errores_parseo").alias("orden", "error"))
+    texts = texts.select(key, "parte", F.col("orden").cast("bigint").alias("orden"), "error")
+    gaps = _missing_numbers(df.select(key, "huecos"))
+    return texts.unionByName(
+        gaps.select(key, F.lit(2).alias("parte"), F.col("n").alias("orden"), _gap_error(F.col("n")).alias("error"))
+    )
+
+
+def candidate_lines(df: DataFrame, key: str = "seq") -> DataFrame:
+    """Every candidate from the first to the highest number, with 0 votes where one is missing."""
+    gaps = _missing_numbers(df.select(key, "huecos")).select(
+        key, F.concat(F.lit("C"), F.col("n").cast("string")).alias("candidato_id"),
+        F.lit(0).cast("bigint").alias("votos"),
+    )
+    return df.select(key, F.inline("candidatos")).unionByName(gaps)
 
 
 def parse_sms(df: DataFrame, message: str = "mensaje_raw", strict: bool = True) -> DataFrame:
     """Add the parsed fields of a message.
 
+    ``candidatos`` holds the candidates sent, in order of their numbers; ``huecos`` the runs
+    of numbers missing below the highest, whatever their length. ``candidate_lines`` and
+    ``error_lines`` print them number by number.
+
     ``strict=False`` is the lenient report reading: parts without a colon are ignored
     and no error list is produced.
     """
@@ -147,7 +182,6 @@ def parse_sms(df: DataFrame, message: str = "mensaje_raw", strict: bool = True)
                 for k, name in _COUNT_FIELDS.items()
             },
             "_numeros": F.col("_votos")["n"],
-            "_tope": F.coalesce(F.array_max(F.col("_votos")["n"]), F.lit(0).cast("bigint")),
         }
     )
 
@@ -160,25 +194,18 @@ def parse_sms(df: DataFrame, message: str = "mensaje_raw", strict: bool = True)
             ).alias("votos"),
         )
 
-    # A message whose numbers leave an over-long gap is rejected anyway; its candidates
-    # are kept as sent instead of being padded with zeros.
-    padded = F.col("_tope") <= F.size("_numeros") + GAP_ERRORS_SPELLED_OUT
-    numbers = (
-        F.when(F.col("_tope") < 1, F.array().cast("array<bigint>"))
-        .when(padded, F.sequence(F.lit(1).cast("bigint"), F.col("_tope")))
-        .otherwise(F.array_sort(F.array_distinct(F.filter("_numeros", lambda n: n >= 1))))
-    )
-    out = out.withColumn("candidatos", F.transform(numbers, candidate))
+    numbers = F.array_sort(F.array_distinct(F.filter("_numeros", lambda n: n >= 1)))
+    out = out.withColumns({"candidatos": F.transform(numbers, candidate), "huecos": _gaps(F.col("_numeros"))})
     if strict:
+        none = F.when(F.size("_numeros") == 0, F.lit("no se encontraron candidatos (C1, C2, C3...)"))
         out = out.withColumn(
             "errores_parseo",
             F.concat(
                 F.array_compact(F.transform("_partes", _part_error)),
-                F.array_compact(F.array(*[_field_error(k) for k in _REQUIRED])),
-                _gap_errors(),
+                F.array_compact(F.array(*[_field_error(k) for k in _REQUIRED], none)),
             ),
         )
-    drop = ["_partes", "_pares", "_votos", "_numeros", "_tope"] + [f"_raw_{k}" for k in keys]
+    drop = ["_partes", "_pares", "_votos", "_numeros"] + [f"_raw_{k}" for k in keys]
     return out.drop(*drop)
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from votecount import constants as K
+from votecount.functions import sms
 from votecount.functions.scalars import join_first
 from votecount.operators import machine as m
 
@@ -29,7 +30,7 @@ def sms_events(outcomes: DataFrame) -> DataFrame:
     The received event has no sheet id yet; the message hash in the metadata links it.
     """
     stage, sheet = F.col("etapa"), F.col("acta_id")
-    format_ok = F.size("errores_parseo") == 0
+    format_ok = ~sms.malformed()
     earlier_id = F.coalesce(
         "acta_registrada", F.when(F.col("previo_autorizado") & format_ok, sheet).otherwise("")
     )
@@ -111,9 +112,10 @@ def notification_outbox(outcomes: DataFrame) -> DataFrame:
     kept = F.col("estado_sms") == K.SMS_PROCESADO
     malformed = F.col("etapa") == m.BY_FORMAT
     text = F.when(kept, confirmation_text(F.col("acta_id"), F.col("estado"))).otherwise(
-        format_error_text(F.col("errores_parseo"))
+        # An error has more than one byte, so these are all that can show in the text.
+        format_error_text(sms.first_errors(K.SMS_TEXT_LIMIT))
     )
     return outcomes.where(kept | malformed).select(
         "seq", F.col("telefono").alias("destinatario"), text.alias("mensaje"),
-        F.when(malformed, join_first(F.col("errores_parseo"), 2)).otherwise("").alias("resumen"),
+        F.when(malformed, join_first(sms.first_errors(2), 2, sms.error_count())).otherwise("").alias("resumen"),
     )

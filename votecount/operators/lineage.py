@@ -1,20 +1,29 @@
 """Cutting a plan at a reliable copy in the folder shared by the cluster."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors see."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; make a private one only when none is named."""
+    """Use the cluster's checkpoint folder, or one in the warehouse, which executors share too."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="votecount-checkpoint-"))
+    context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a checkpoint that survives lost executors."""
+    """The same rows, read back from a checkpoint that survives lost executors.
+
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` lets Spark remove it once unused.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from votecount import constants as K
-from votecount.functions.sms import authorised, parse_sms, sms_hash, sms_to_sheet
+from votecount.functions.sms import authorised, malformed, parse_sms, sms_hash, sms_to_sheet
 from votecount.operators import inconsistencies as inc
 from votecount.functions.steps import once
 from votecount.operators.groups import attach, stamp, stamp_bit, stamp_seq
@@ -40,14 +40,17 @@ def hashed(messages: DataFrame, policy: SmsPolicy) -> DataFrame:
     )
 
 
-def mark_duplicate_hash(messages: DataFrame, registered: DataFrame | None = None) -> DataFrame:
+def mark_duplicate_hash(
+    messages: DataFrame, registered: DataFrame | None = None, source: DataFrame | None = None
+) -> DataFrame:
     """Add ``es_primero`` and ``previo``: the first message with the same text, if another.
 
     Every earlier copy counts, also one that was refused. ``registered`` holds hashes (with
-    the sheet id noted for them) that were stored before this set.
+    the sheet id noted for them) that were stored before this set; ``source`` the same
+    messages before they were parsed.
     """
     arrival = stamp(F.col("fecha_recepcion"), F.col("seq"), F.col("autorizado"))
-    out = attach(messages, "hash_mensaje", {"_primero": F.min(arrival)}, "seq", min_rows=2)
+    out = attach(messages, "hash_mensaje", {"_primero": F.min(arrival)}, "seq", min_rows=2, source=source)
     first = F.col("_primero")
     earlier = first.isNotNull() & (stamp_seq(first) != F.col("seq"))
     out = out.withColumn("previo_autorizado", F.when(earlier, stamp_bit(first)))
@@ -72,12 +75,13 @@ def sms_outcomes(
     ``registered`` / ``stored`` are the register and the sheets kept by earlier runs.
     """
     # Parsed before the first join, so that what only needs counts does not carry the text.
-    out = mark_duplicate_hash(parse_sms(hashed(messages, policy)), registered)
+    plain = hashed(messages, policy)
+    out = mark_duplicate_hash(parse_sms(plain), registered, source=plain)
     out = out.withColumn(
         "etapa",
         F.when(~F.col("autorizado"), BY_PHONE)
         .when(~F.col("es_primero"), BY_HASH)
-        .when(F.size("errores_parseo") > 0, BY_FORMAT)
+        .when(malformed(), BY_FORMAT)
         .when(F.col("sms_pin") != policy.pin, BY_PIN)
         .otherwise(AS_SHEET),
     )
@@ -136,7 +140,10 @@ def _visual_ddl() -> str:
 
 
 def sms_register(outcomes: DataFrame) -> DataFrame:
-    """Register rows: the first message of each text, with its state and error list."""
+    """Register rows: the first message of each text, with its state and error list.
+
+    Missing candidate numbers are kept as runs in ``huecos``; ``sms.error_lines`` prints them.
+    """
     stage = F.col("etapa")
     exists = F.concat(F.lit("Acta "), "acta_id", F.lit(" ya existe en el sistema"))
     errors = (
@@ -146,10 +153,13 @@ def sms_register(outcomes: DataFrame) -> DataFrame:
         .when(F.col("estado_sms") == K.SMS_DUPLICADO_ESTADO, F.array(exists))
         .otherwise(F.array().cast("array<string>"))
     )
+    gaps = F.when(stage == BY_FORMAT, F.col("huecos")).otherwise(
+        F.array().cast("array<struct<desde:bigint,hasta:bigint>>")
+    )
     sheet_id = F.when(stage.isin(BY_PHONE, BY_FORMAT), F.lit("")).otherwise(F.col("acta_id"))
     return outcomes.where("es_primero").select(
         "telefono", "mensaje_raw", "hash_mensaje", sheet_id.alias("acta_id"),
-        F.col("estado_sms").alias("estado"), errors.alias("errores"), "fecha_recepcion", "seq",
+        F.col("estado_sms").alias("estado"), errors.alias("errores"), gaps.alias("huecos"), "fecha_recepcion", "seq",
     )
 
 
@@ -177,34 +187,51 @@ def issues_of(outcomes: DataFrame) -> DataFrame:
 STORED, SAME_FILE, SAME_SHEET = "GUARDADA", "DUPLICADO_HASH", "DUPLICADO_ACTA"
 
 
-def greedy_first(files: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def greedy_first(files: DataFrame) -> DataFrame:
     """Which files are stored when each one needs a hash and an id not stored before.
 
-    A file is stored when it is the earliest of its hash and of its id among the files still
-    open; whatever shares a hash or id with it can then no longer be stored. That repeats
-    until nothing is open; nearly always after one round, because the text decides the id
-    unless only the file name holds the code. Each round is cut off from the ones before, so
-    lost executors replay one round only.
+    A file whose hash and id nobody shares is stored. Among the others, one is stored when it
+    is the earliest of its hash and of its id among the files still open; whatever shares a
+    hash or id with it can then no longer be stored. That repeats until nothing is open; every
+    round stores at least one file, and nearly always one is enough, because the text decides
+    the id unless only the file name holds the code. Each round is cut off from the ones
+    before, so lost executors replay one round only.
 
     Input columns: seq, fecha_recepcion, hash_origen, acta_id. Output: seq, resultado and
     ``previo`` (seq of the stored file that blocks it, NULL for stored ones).
     """
     arrival = stamp(F.col("fecha_recepcion"), F.col("seq")).alias("orden")
-    every = cut(files.select("seq", arrival, "hash_origen", "acta_id"))
-    open_, stored = every, None
-    for _ in range(max_rounds):
+    every = files.select("seq", arrival, "hash_origen", "acta_id")
+    shared = lambda c: F.count(F.lit(1)).alias(c)
+    counted = attach(every, "hash_origen", {"_nh": shared("_nh")}, "seq", min_rows=2)
+    counted = cut(attach(counted, "acta_id", {"_na": shared("_na")}, "seq", min_rows=2, source=every))
+    alone = F.col("_nh").isNull() & F.col("_na").isNull()
+    every = counted.drop("_nh", "_na")
+    stored, open_ = counted.where(alone).drop("_nh", "_na"), counted.where(~alone).drop("_nh", "_na")
+    while not open_.isEmpty():
         first_hash = open_.groupBy("hash_origen").agg(F.min("orden").alias("orden")).select("orden")
         first_id = open_.groupBy("acta_id").agg(F.min("orden").alias("orden")).select("orden")
         fresh = cut(open_.join(first_hash, "orden", "left_semi").join(first_id, "orden", "left_semi"))
-        stored = fresh if stored is None else stored.unionByName(fresh)
+        stored = stored.unionByName(fresh)
         open_ = cut(
             open_.join(fresh.select("hash_origen"), "hash_origen", "left_anti").join(
                 fresh.select("acta_id"), "acta_id", "left_anti"
             )
         )
-        if open_.isEmpty():
-            return _label(every, stored)
-    raise RuntimeError("files still open after the last round")
+    return _label(every, stored)
+
+
+def storable_sheets(sheets: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The sheets to append: as if each in turn needed an id and a hash not stored before.
+
+    A sheet that is refused itself does not stand in the way of a later one.
+    """
+    if stored is not None:
+        sheets = sheets.join(stored.select("acta_id"), "acta_id", "left_anti").join(
+            stored.select("hash_origen"), "hash_origen", "left_anti"
+        )
+    kept = greedy_first(sheets).where(F.col("resultado") == STORED)
+    return sheets.join(kept.select("seq"), "seq", "left_semi")
 
 
 def _label(every: DataFrame, stored: DataFrame) -> DataFrame:
@@ -222,24 +249,39 @@ def _label(every: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def upload_outcomes(
-    files: DataFrame, reference: DataFrame, keep_parser_errors: bool = False
+    files: DataFrame,
+    reference: DataFrame,
+    keep_parser_errors: bool = False,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Parsed, validated files with ``resultado``, previous sheet and inconsistencies.
 
     ``files``: sheets from text with seq, fecha_recepcion, hash_origen and
     validacion_visual. Only one of ``resultado`` GUARDADA exists per hash and per id.
+    ``stored`` holds the sheets kept before, of whatever channel (acta_id, the numbers and
+    hash_origen): a file with a stored hash is that file again, one with a stored id is a
+    duplicate of that sheet, and neither stands in the way of others.
     """
+    # Parsed once; the rounds, the result and the look-up of earlier sheets read this copy.
     sheets = validate_sheets(files, keep_parser_errors)
-    decided = greedy_first(sheets)
-    out = sheets.join(decided, "seq")
+    known = F.struct("acta_id", *_PREVIOUS)
+    if stored is None:
+        sheets = cut(sheets.withColumn("_guardada", F.lit(None).cast(sheets.select(known).schema[0].dataType)))
+        sheets = sheets.withColumn("_antes", F.lit(None).cast("string"))
+    else:
+        by_hash = stored.select("hash_origen", known.alias("_por_hash"))
+        by_id = stored.select("acta_id", known.alias("_por_id"))
+        seen = sheets.join(by_hash, "hash_origen", "left").join(by_id, "acta_id", "left")
+        result = F.when(F.col("_por_hash").isNotNull(), SAME_FILE).when(F.col("_por_id").isNotNull(), SAME_SHEET)
+        seen = seen.withColumn("_antes", result).withColumn("_guardada", F.coalesce("_por_hash", "_por_id"))
+        sheets = cut(seen.drop("_por_hash", "_por_id"))
+    decided = greedy_first(sheets.where(F.col("_antes").isNull()))
+    out = sheets.join(decided, "seq", "left").withColumn("resultado", F.coalesce("_antes", "resultado"))
     kept = decided.where(F.col("resultado") == STORED).select("seq")
-    before = sheets.join(kept, "seq", "left_semi").select(
-        F.col("seq").alias("previo"), F.struct("acta_id", *_PREVIOUS).alias("previa")
-    )
+    before = sheets.join(kept, "seq", "left_semi").select(F.col("seq").alias("previo"), known.alias("previa"))
     # NULL for stored files; spread so that they do not meet in one partition.
-    out = out.withColumn("previo", F.coalesce("previo", -F.col("seq") - 1)).join(
-        before, "previo", "left"
-    )
+    out = out.withColumn("previo", F.coalesce("previo", -F.col("seq") - 1)).join(before, "previo", "left")
+    out = out.withColumn("previa", F.coalesce("_guardada", "previa")).drop("_guardada", "_antes")
     judged = F.col("resultado") != SAME_FILE
     out = out.withColumn("canal", F.lit("UPLOAD"))
     return with_inconsistencies(out, reference, judged)

@@ -81,7 +81,7 @@ rep AS (
                  ELSE 'PDF' END AS tipo_entrada,
          dia + to_seconds(k * 37 % 86400) AS fecha_recepcion,
          P1 + CASE WHEN k % 25 = 0 THEN 1 ELSE 0 END AS c1
-  FROM tr WHERE k % 10 <> 9),
+  FROM tr),
 sh0 AS (
   SELECT k, 'MESA-' || codigo_acta AS acta_id, codigo_acta, codigo_recinto, departamento,
          CASE WHEN k % 97 = 0 THEN '' ELSE municipio END AS municipio, recinto, nro_mesa, c1, P2, P3, P4,
@@ -298,14 +298,14 @@ up AS (
   FROM up0 JOIN kept USING (acta_id))"""
 
 def _drawn(value: str) -> str:
-    """Three digits with blanks between them, some as look-alikes."""
-    d = f"lpad(CAST({value} AS VARCHAR), 3, '0')"
-    spaced = f"substr({d}, 1, 1) || ' ' || substr({d}, 2, 1) || ' ' || substr({d}, 3, 1)"
+    """Three digits at least with blanks between them, some as look-alikes."""
+    spaced = f"trim(regexp_replace({_three(value)}, '(.)', '\\1 ', 'g'))"
     return f"CASE WHEN k % 13 = 0 THEN translate({spaced}, '0158', 'OlSB') ELSE {spaced} END"
 
 
 def _three(value: str) -> str:
-    return f"lpad(CAST({value} AS VARCHAR), 3, '0')"
+    text = f"CAST({value} AS VARCHAR)"
+    return f"lpad({text}, CAST(greatest(length({text}), 3) AS INTEGER), '0')"
 
 
 _ADMIN = ["votantes_habilitados", "papeletas_anfora", "sin_usar"]
@@ -482,6 +482,7 @@ WHERE extension IN ('.jpg', '.jpeg', '.png', '.pdf', '.bmp', '.tiff')""",
     "placeholder_row": _base("""
 SELECT * FROM dept WHERE "VotosValidos" < 0
 UNION ALL SELECT 'Sin Datos', 1, 0, 0, 0, 0, 0, 0, 0 WHERE NOT EXISTS (SELECT * FROM dept WHERE "VotosValidos" < 0)"""),
+    "placeholder_row_not_needed": _base("SELECT * FROM dept"),
     "limit_scan": _base("SELECT least(100, count(*)) AS filas FROM tr"),
     # sinks
     "insert_if_absent": _submitted("""
@@ -501,6 +502,17 @@ SELECT fila, codigo_acta, motivo FROM (
     # lookups
     "list_sheets": _quick(f"SELECT {_SHEET} FROM sh WHERE departamento = 'La Paz' AND estado = 'PROCESADA' AND tipo_entrada = 'PDF'"),
     "get_sheet": _quick(f"SELECT {_SHEET}, votos_validos, total_votos FROM sh WHERE k = 12"),
+    "list_all_sheets": _quick(f"SELECT {_SHEET} FROM sh"),
+    "find_mesa_by_code": _base("""
+SELECT codigo_acta, recinto, departamento, municipio, nro_mesa, votantes_habilitados FROM tr
+WHERE k = 7 AND codigo_acta NOT IN (SELECT codigo_acta FROM done)"""),
+    "find_mesa_by_place": _base("""
+SELECT codigo_acta, recinto, departamento, municipio, nro_mesa, votantes_habilitados FROM
+  (SELECT * FROM tr WHERE codigo_recinto = 7 AND nro_mesa = 8 ORDER BY codigo_acta LIMIT 1)
+WHERE codigo_acta NOT IN (SELECT codigo_acta FROM done)"""),
+    "find_mesa_transcribed": _base("""
+SELECT codigo_acta, codigo_recinto, nro_mesa, votantes_habilitados FROM tal
+WHERE k = 3 AND codigo_acta IN (SELECT codigo_acta FROM done)"""),
     "get_by_hash": _quick(f"SELECT {_SHEET} FROM sh WHERE k = 12"),
     "latest_events": _events("SELECT * FROM evt ORDER BY fecha DESC, event_id DESC LIMIT 500"),
     "latest_sms": _messages("SELECT seq, telefono, llegada AS fecha_recepcion FROM msg ORDER BY llegada DESC, seq DESC LIMIT 500"),
@@ -565,6 +577,10 @@ JOIN (VALUES ('Chuquisaca', -19.0333::DOUBLE, -65.2627::DOUBLE), ('La Paz', -16.
 SELECT acta_id, 'evento' AS seccion, tipo_evento AS detalle, fecha FROM evt
 UNION ALL SELECT acta_id, 'inconsistencia', tipo, fecha FROM log
 UNION ALL SELECT acta_id, 'estado_actual', estado, fecha_recepcion FROM sh"""),
+    "event_replay_one": _events("""
+SELECT * FROM (SELECT acta_id, 'evento' AS seccion, tipo_evento AS detalle, fecha FROM evt
+UNION ALL SELECT acta_id, 'inconsistencia', tipo, fecha FROM log
+UNION ALL SELECT acta_id, 'estado_actual', estado, fecha_recepcion FROM sh) WHERE acta_id = 'MESA-1010200000001'"""),
     "event_replay_counts": _events("""
 SELECT acta_id, CAST(sum(e) AS BIGINT) AS total_eventos, CAST(sum(i) AS BIGINT) AS total_inconsistencias,
        min(f) AS primer_evento, max(f) AS ultimo_evento, max(s) AS estado_actual
@@ -651,6 +667,11 @@ SELECT CASE WHEN motivo IS NULL THEN 'exitoso' WHEN motivo IN ('Acta no encontra
             ELSE 'error' END AS resultado, count(*) AS filas FROM rul GROUP BY 1"""),
     # first wins
     "sms_duplicates": _with("SELECT seq, sha256(mensaje_raw) AS hash_mensaje, copia <> 1 AS es_primero FROM txt", _QUICK, _MESSAGES, _MESSAGE_TEXT),
+    "append_sheets": _quick("""
+SELECT 2 * a.k + CASE WHEN a.k % 42 = 0 AND (b.fecha_recepcion, b.k) < (a.fecha_recepcion, a.k) THEN 1 ELSE 0 END AS seq, a.acta_id
+FROM sh a LEFT JOIN sh b ON a.k % 42 = 0 AND b.k = a.k - 1
+LEFT JOIN sh c ON c.k = a.k + 1 AND c.k % 42 = 0 AND c.k % 4 <> 0 AND (c.fecha_recepcion, c.k) < (a.fecha_recepcion, a.k)
+WHERE a.k % 4 <> 0 AND c.k IS NULL"""),
     "first_sheet_wins": _quick("SELECT k * 2 AS seq, acta_id, tipo_entrada FROM sh"),
     "municipality_table": _base(f"""
 SELECT "Departamento", "Municipio", "P1", "P2", "P3", "P4", "VotosValidos", "VotosBlancos", "VotosNulos",
@@ -683,14 +704,20 @@ SELECT seq, acta_id AS sms_acta, departamento AS sms_dep, municipio AS sms_mun,
     "sms_candidates": _messages("""
 SELECT seq, 'C' || i AS candidato_id, CASE i WHEN 1 THEN v1 WHEN 2 THEN P2 WHEN 3 THEN v3 ELSE P4 END AS votos
 FROM msg CROSS JOIN (VALUES (1), (2), (3), (4)) x(i)"""),
-    "sms_errors": _messages("SELECT seq, errores FROM msg WHERE n_errores > 0"),
+    "sms_errors": _messages("""
+SELECT seq, 1 AS parte, i - 1 AS orden, l[i] AS error
+FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i
+      FROM (SELECT seq, list_filter([m1, m2, m3], lambda x: x IS NOT NULL) AS l FROM msg))
+UNION ALL SELECT seq, 2, 3, m4 FROM msg WHERE m4 IS NOT NULL"""),
     "sms_to_sheet": _messages("""
 SELECT seq, acta_id, departamento, municipio, CASE WHEN k % 47 <> 0 THEN recinto ELSE '' END AS recinto,
        CAST(nro_mesa AS VARCHAR) AS mesa, val AS votos_validos, nul AS votos_nulos, votos_blancos, total AS total_votos FROM msg"""),
     "sms_hash": _with("SELECT seq, sha256(mensaje_raw) AS hash_mensaje FROM txt", _QUICK, _MESSAGES, _MESSAGE_TEXT),
     "sms_authorised": _messages("SELECT seq, NOT (k % 35 = 0 AND copia = 0) AS autorizado FROM msg"),
     "parse_sms_lenient": _messages("""
-SELECT seq, departamento AS sms_dep, val AS sms_val, nul AS sms_nul, CAST(4 AS INTEGER) AS n_candidatos FROM msg"""),
+SELECT seq, departamento AS sms_dep, val AS sms_val, nul AS sms_nul,
+       CAST(CASE WHEN m4 IS NULL THEN 4 ELSE 3 END AS INTEGER) AS n_candidatos,
+       CAST(CASE WHEN m4 IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_huecos FROM msg"""),
     "parse_sms_star": _base("""
 SELECT k, 'MESA-' || k AS sms_acta, votos_validos AS sms_val, votos_blancos AS sms_bla,
        CASE WHEN k % 9 = 0 THEN 0 ELSE votos_nulos END AS sms_nul, CAST(CASE WHEN k % 2 = 0 THEN 3 ELSE 2 END AS INTEGER) AS n_candidatos,
@@ -735,7 +762,10 @@ SELECT doc_id, CASE WHEN contains(u, 'CHUQUISACA') THEN 'Chuquisaca' WHEN contai
        WHEN contains(u, 'TARIJA') THEN 'Tarija' WHEN contains(u, 'SANTA CRUZ') THEN 'Santa Cruz' WHEN contains(u, 'BENI') THEN 'Beni'
        WHEN contains(u, 'PANDO') THEN 'Pando' ELSE '' END AS departamento
 FROM (SELECT doc_id, upper(text) AS u FROM documents)""",
-    "votes_by_name": _files("SELECT seq, f_c1 AS c1, f_c2 AS c2, f_c3 AS c3, f_c4 AS c4 FROM fil WHERE NOT pdf AND k % 29 = 0"),
+    "votes_by_name": _files("""
+SELECT seq, CASE WHEN sin_tripletes THEN f_c1 ELSE 0 END AS c1, CASE WHEN sin_tripletes THEN f_c2 ELSE 0 END AS c2,
+       CASE WHEN sin_tripletes THEN f_c3 ELSE 0 END AS c3, CASE WHEN sin_tripletes THEN f_c4 ELSE 0 END AS c4
+FROM fil WHERE NOT pdf"""),
     "sheet_identity": _files("SELECT seq, file_name, f_codigo AS codigo_mesa, f_mesa AS mesa, acta_id FROM fil"),
     "annulled_text": _files("SELECT seq, k % 37 = 0 AS anulada, k % 37 = 0 AS anulada_estricta FROM fil"),
     "annulled_documents": """
@@ -770,6 +800,11 @@ SELECT acta_id, 'DUPLICADO_DATOS_DIFERENTES' AS tipo, 'Acta recibida con anterio
          CASE WHEN k % 5 = 0 THEN 'departamento: anterior=' || departamento || ', nuevo=Tarija' END) AS descripcion, 'CRITICA' AS severidad
 FROM sh WHERE k % 21 = 0 AND (k % 2 = 0 OR k % 5 = 0)"""),
     "official_valid": _submitted("SELECT fila, codigo_acta, votos_validos FROM rul WHERE motivo IS NULL"),
+    "official_rejects_in_store": _submitted("""
+SELECT fila, codigo_acta, m AS motivo FROM (
+  SELECT *, CASE WHEN (motivo IS NULL OR motivo = 'El acta ya fue transcrita')
+      AND codigo_acta IN (SELECT codigo_acta FROM done) THEN 'El acta ya fue transcrita' ELSE motivo END AS m
+  FROM rul) WHERE m IS NOT NULL"""),
     "official_rejects": _submitted("SELECT fila, codigo_acta, motivo FROM rul WHERE motivo IS NOT NULL"),
     "prevalidate_rows": _submitted("""
 SELECT fila, CASE
@@ -806,12 +841,19 @@ SELECT seq, CAST(paso AS INTEGER) AS paso, acta_id, tipo_evento, llegada AS fech
             FROM jud WHERE etapa = 'ACTA')"""),
     "sms_register": _messages("""
 SELECT seq, telefono, CASE WHEN etapa IN ('TELEFONO', 'FORMATO') THEN '' ELSE acta_id END AS acta_id, estado_sms AS estado,
-       CASE WHEN etapa = 'TELEFONO' THEN 'Teléfono no autorizado' WHEN etapa = 'FORMATO' THEN errores
+       CASE WHEN etapa = 'TELEFONO' THEN 'Teléfono no autorizado' WHEN etapa = 'FORMATO' THEN concat_ws(' | ', m1, m2, m3)
             WHEN etapa = 'PIN' THEN 'PIN de verificación inválido' WHEN estado_sms = 'DUPLICADO' THEN 'Acta ' || acta_id || ' ya existe en el sistema'
-            ELSE '' END AS errores
+            ELSE '' END AS errores,
+       CASE WHEN etapa = 'FORMATO' AND m4 IS NOT NULL THEN '3-3' ELSE '' END AS huecos
 FROM jud WHERE copia <> 1"""),
     "sms_inconsistencies": _messages("SELECT acta_id, tipo, descripcion, severidad FROM smi"),
     "upload_outcomes": _files("SELECT seq, acta_id, resultado, estado FROM up"),
+    "upload_outcomes_in_store": _with("""
+SELECT up.seq, up.acta_id, CASE WHEN s.k IS NOT NULL THEN 'DUPLICADO_ACTA' ELSE resultado END AS resultado,
+       CASE WHEN s.k IS NOT NULL THEN sha256(CAST(s.codigo_acta AS VARCHAR))
+            WHEN resultado <> 'GUARDADA' THEN sha256(t.texto) END AS hash_previo
+FROM up LEFT JOIN sh s ON s.acta_id = up.acta_id AND s.k % 5 = 0
+LEFT JOIN kept p ON p.acta_id = up.acta_id LEFT JOIN ftx t ON t.seq = p.pk * 4 + p.pcopia""", _QUICK, _FILES, _FILE_TEXT),
     "upload_events": _files("""
 SELECT seq, CAST(paso AS INTEGER) AS paso, acta_id, tipo_evento, llegada AS fecha FROM (
   SELECT seq, llegada, 1 AS paso, 'PENDIENTE' AS acta_id, 'ACTA_RECIBIDA' AS tipo_evento FROM up

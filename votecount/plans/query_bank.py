@@ -191,27 +191,36 @@ def votes_per_candidate(sheets: DataFrame) -> DataFrame:
 def quick_vs_official(sheets: DataFrame, t: DataFrame) -> DataFrame:
     """Quick totals, official totals and quick minus official, one row per measure.
 
-    Candidates are aligned by ordinal: C1 against P1 and so on.
+    Candidates are aligned by ordinal: C1 against P1 and so on, for as many as there are on
+    either side.
     """
-    candidates = [
-        total_or_zero(F.get("candidatos", i - 1)["votos"]).alias(f"q_p{i}") for i in range(1, 5)
-    ]
-    quick = sheets.where(F.col("estado") == K.PROCESADA).agg(
-        *[total_or_zero(F.col(c)).alias(f"q_{c}") for c in ("votos_validos", "votos_nulos", "votos_blancos")],
-        *candidates,
+    good = sheets.where(F.col("estado") == K.PROCESADA)
+    quick = good.agg(
+        *[total_or_zero(F.col(c)).alias(f"q_{c}") for c in ("votos_validos", "votos_nulos", "votos_blancos")]
     )
-    both = quick.crossJoin(official_totals(t))
+    official = official_totals(t)
     measures = [
         ("totales", "q_votos_validos + q_votos_nulos + q_votos_blancos", "total_votos"),
         ("votos_validos", "q_votos_validos", "votos_validos"),
         ("votos_nulos", "q_votos_nulos", "votos_nulos"),
         ("votos_blancos", "q_votos_blancos", "votos_blancos"),
-        *[(f"P{i}", f"q_p{i}", f"P{i}") for i in range(1, 5)],
     ]
     rows = ", ".join(f"'{n}', {q}, {o}" for n, q, o in measures)
-    return both.selectExpr(f"stack({len(measures)}, {rows}) as (medida, trep, oficial)").withColumn(
-        "diferencia", F.col("trep") - F.col("oficial")
+    totals = quick.crossJoin(official).selectExpr(f"stack({len(measures)}, {rows}) as (medida, trep, oficial)")
+    trep = (
+        good.select(F.posexplode("candidatos").alias("i", "c"))
+        .groupBy((F.col("i") + 1).alias("i"))
+        .agg(total_or_zero(F.col("c.votos")).alias("trep"))
+    )
+    parties = ", ".join(f"{i}, P{i}" for i in range(1, 5))
+    both = trep.join(official.selectExpr(f"stack(4, {parties}) as (i, oficial)"), "i", "full")
+    zero = F.lit(0).cast("bigint")
+    candidates = both.select(
+        F.concat(F.lit("P"), F.col("i").cast("string")).alias("medida"),
+        F.coalesce("trep", zero).alias("trep"),
+        F.coalesce("oficial", zero).alias("oficial"),
     )
+    return totals.unionByName(candidates).withColumn("diferencia", F.col("trep") - F.col("oficial"))
 
 
 def department_gap(sheets: DataFrame, t: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ many rows. A global sort on (sheet, time) splits such a sheet over several range
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from votecount.operators.groups import stamp
+
 
 def replay(
     events: DataFrame, inconsistencies: DataFrame, sheets: DataFrame, acta_id: str | None = None
@@ -59,7 +61,19 @@ def replay_counts(events: DataFrame, inconsistencies: DataFrame, sheets: DataFra
 
 
 def latest_state(events: DataFrame, tiebreak: str = "event_id") -> DataFrame:
-    """Most recent event of every sheet; works on a batch and on a stream."""
+    """Most recent event of every sheet; works on a batch and on a stream.
+
+    A batch finds the highest stamp by hash aggregation and joins its event; a stream, which
+    has no second look at its rows, keeps the event beside the highest order seen.
+    """
+    if not events.isStreaming:
+        order = stamp(F.col("fecha"), F.col(tiebreak), missing=-(10**18 - 1)).alias("_orden")
+        rows = events.select("acta_id", "tipo_evento", "fecha", order)
+        last = rows.groupBy("acta_id").agg(F.max("_orden").alias("_orden"), F.count(F.lit(1)).alias("eventos"))
+        met = rows.where(F.col("acta_id").isNotNull()).join(last, ["acta_id", "_orden"])
+        nameless = last.where(F.col("acta_id").isNull()).join(rows.where(F.col("acta_id").isNull()).drop("acta_id"), "_orden")
+        columns = ["acta_id", F.col("tipo_evento").alias("ultimo_evento"), "fecha", "eventos"]
+        return met.select(*columns).unionByName(nameless.select(*columns))
     order = F.struct("fecha", tiebreak)
     return (
         events.groupBy("acta_id")

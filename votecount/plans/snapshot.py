@@ -79,7 +79,11 @@ def margin() -> Column:
 
 def project_snapshot(sheets: DataFrame, printed: DataFrame, inconsistencies: DataFrame) -> DataFrame:
     """One row of headline figures."""
-    parts = breakdown(sheets)
+    return project_parts(long_snapshot(sheets, inconsistencies), printed)
+
+
+def project_parts(parts: DataFrame, printed: DataFrame) -> DataFrame:
+    """Headline figures from counts that add up (``long_snapshot``, of one or of many batches)."""
     pick = lambda group, key: total_or_zero(
         F.when((F.col("grupo") == group) & (F.col("clave") == key), F.col("cantidad"))
     )
@@ -92,6 +96,7 @@ def project_snapshot(sheets: DataFrame, printed: DataFrame, inconsistencies: Dat
             pick("votos", c).alias(f"total_{c}")
             for c in ("votos_validos", "votos_nulos", "votos_blancos")
         ],
+        total_or_zero(F.when(F.col("grupo") == "inconsistencia", F.col("cantidad"))).alias("total_inconsistencias"),
     )
     # Ordered by an expression, not filtered: a filter would be pushed below the grouping
     # and the grouping would then run twice instead of its shuffle being shared.
@@ -105,13 +110,12 @@ def project_snapshot(sheets: DataFrame, printed: DataFrame, inconsistencies: Dat
         F.count(F.lit(1)).alias("total_actas_esperadas"),
         total_or_zero(F.col("votantes_habilitados")).alias("total_habilitados"),
     )
-    issues = inconsistencies.agg(F.count(F.lit(1)).alias("total_inconsistencias"))
     voters = F.col("total_votos_validos") + F.col("total_votos_nulos") + F.col("total_votos_blancos")
     seen = (
         F.col("total_actas_procesadas") + F.col("total_actas_error")
         + F.col("total_actas_anuladas") + F.col("total_actas_observadas")
     )
-    row = scalars.crossJoin(best).crossJoin(expected).crossJoin(issues)
+    row = scalars.crossJoin(best).crossJoin(expected)
     row = row.withColumn("votos_validos", F.col("total_votos_validos")).withColumns(
         {
             "total_votantes": voters,

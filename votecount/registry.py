@@ -1,5 +1,6 @@
 """Every query of the engine as a callable over a folder of test tables."""
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from votecount.operators import lookups as lk
 from votecount.operators import machine as mach
 from votecount.operators import official as off
 from votecount.operators import validation as val
-from votecount.operators.groups import attach, first_wins, stamp
+from votecount.operators.lineage import shared_path
+from votecount.operators.groups import attach, first_wins, stamp, stamp_seq
 from votecount.plans import dashboard as dash
 from votecount.plans import extensions as ext
 from votecount.plans import query_bank as qb
@@ -50,11 +52,11 @@ def query(fn):
 # --- sources ---------------------------------------------------------------------
 
 
-def _csv_round_trip(df: DataFrame) -> DataFrame:
-    """Rows printed as CSV lines and read back as text columns, as from a file."""
-    fields = ", ".join(f"`{c}` string" for c in df.columns)
-    line = F.to_csv(F.struct(*df.columns))
-    return df.select(F.from_csv(line, fields).alias("r")).select("r.*")
+def _as_csv(df: DataFrame) -> str:
+    """A folder with the rows as CSV files, as they would arrive."""
+    path = shared_path(df.sparkSession, "csv")
+    df.write.option("header", True).csv(path)
+    return path
 
 
 @query
@@ -63,8 +65,7 @@ def src_territory(e):
         F.col("codigo_territorial").alias("CodigoTerritorial"), F.col("departamento").alias("Departamento"),
         F.col("municipio").alias("Municipio"), F.lit("Provincia").alias("Provincia"),
     )
-    return rd.territory_rows(_csv_round_trip(rows).withColumn(
-        "CodigoTerritorial", F.col("CodigoTerritorial").try_cast("int")))
+    return rd.read_territory(e.spark, _as_csv(rows))
 
 
 @query
@@ -74,15 +75,12 @@ def src_precincts(e):
         F.col("codigo_recinto").alias("CodigoRecinto"), F.col("recinto").alias("RecintoNombre"),
         F.concat(F.lit("Calle, "), "provincia").alias("RecintoDireccion"), F.lit(1).alias("NumMesas"),
     )
-    raw = _csv_round_trip(rows)
-    return rd.precinct_rows(raw.select(
-        *[F.col(c).try_cast("bigint").alias(c) if c in ("CodigoTerritorial", "CodigoRecinto", "NumMesas")
-          else F.col(c) for c in raw.columns]))
+    return rd.read_precincts(e.spark, _as_csv(rows))
 
 
-def _transcription_csv(e) -> DataFrame:
+def _transcription_csv(e) -> str:
     t = e.tallies
-    return _csv_round_trip(t.select(
+    return _as_csv(t.select(
         F.when(F.col("k") % 64 == 0, "").otherwise(F.col("codigo_acta").cast("string")).alias("CodigoActa"),
         F.col("codigo_recinto").alias("CodigoRecinto"), F.col("nro_mesa").alias("NroMesa"),
         F.col("votantes_habilitados").alias("VotantesHabilitados"),
@@ -99,17 +97,19 @@ def _transcription_csv(e) -> DataFrame:
 
 @query
 def src_mesas(e):
-    return rd.mesa_rows(_transcription_csv(e))
+    return rd.read_mesas(e.spark, _transcription_csv(e))
 
 
 @query
 def src_transcriptions(e):
-    return rd.transcription_rows(_transcription_csv(e))
+    return rd.read_transcriptions(e.spark, _transcription_csv(e))
 
 
 @query
 def src_sms(e):
-    return e.messages.select("telefono", "mensaje_raw", "fecha_recepcion", "seq")
+    path = shared_path(e.spark, "sms")
+    e.messages.select("telefono", "mensaje_raw", "fecha_recepcion", "seq").write.parquet(path)
+    return rd.read_sms(e.spark, path)
 
 
 @query
@@ -135,6 +135,11 @@ def placeholder_row(e):
     return lk.with_placeholder(empty)
 
 
+@query
+def placeholder_row_not_needed(e):
+    return lk.with_placeholder(dash.roll_up(_municipal(e)))
+
+
 @query
 def limit_scan(e):
     """The bounded read returns any rows; what is compared is how many."""
@@ -174,6 +179,11 @@ def list_sheets(e):
     return lk.list_sheets(e.sheets, department="La Paz", state=K.PROCESADA, kind=K.PDF).select(*_SHEET_COLUMNS)
 
 
+@query
+def list_all_sheets(e):
+    return lk.list_sheets(e.sheets).select(*_SHEET_COLUMNS)
+
+
 @query
 def get_sheet(e):
     return lk.get_sheet(e.sheets, f"MESA-{CODE_BASE + 12}").select(*_SHEET_COLUMNS, "votos_validos", "total_votos")
@@ -181,8 +191,8 @@ def get_sheet(e):
 
 @query
 def get_by_hash(e):
-    digest = F.sha2(F.lit(str(CODE_BASE + 12)), 256)
-    return e.sheets.where(F.col("hash_origen") == digest).select(*_SHEET_COLUMNS)
+    digest = hashlib.sha256(str(CODE_BASE + 12).encode()).hexdigest()
+    return lk.get_by_hash(e.sheets, digest).select(*_SHEET_COLUMNS)
 
 
 @query
@@ -228,6 +238,26 @@ def find_untranscribed_mesa(e):
     return off.find_mesa(e.mesas, e.precincts, e.territory, e.transcribed)
 
 
+_FOUND = ["codigo_acta", "recinto", "departamento", "municipio", "nro_mesa", "votantes_habilitados"]
+
+
+@query
+def find_mesa_by_code(e):
+    return off.find_mesa(e.mesas, e.precincts, e.territory, e.transcribed, codigo_acta=CODE_BASE + 7).select(*_FOUND)
+
+
+@query
+def find_mesa_by_place(e):
+    return off.find_mesa(
+        e.mesas, e.precincts, e.territory, e.transcribed, codigo_recinto=7, nro_mesa=8).select(*_FOUND)
+
+
+@query
+def find_mesa_transcribed(e):
+    """Whether a table that is asked for by code is in the store already."""
+    return off.already_transcribed(e.mesas.where(F.col("codigo_acta") == CODE_BASE + 3), e.transcribed)
+
+
 @query
 def lookup_reference(e):
     return lk.lookup(e.transcriptions, "codigo_acta", CODE_BASE + 7).select(
@@ -295,6 +325,11 @@ def event_replay(e):
     return rep.replay(e.event_log, e.inconsistencies, e.sheets)
 
 
+@query
+def event_replay_one(e):
+    return rep.replay(e.event_log, e.inconsistencies, e.sheets, acta_id=f"MESA-{CODE_BASE + 1}")
+
+
 @query
 def event_replay_counts(e):
     return rep.replay_counts(e.event_log, e.inconsistencies, e.sheets)
@@ -565,18 +600,17 @@ def _parsed_messages(e) -> DataFrame:
 def parse_sms(e):
     p = _parsed_messages(e)
     return p.select("seq", "sms_acta", "sms_dep", "sms_mun", "sms_rec", "sms_mesa", "sms_val",
-                    "sms_nul", "sms_bla", "sms_pin", F.size("errores_parseo").alias("n_errores"))
+                    "sms_nul", "sms_bla", "sms_pin", sms_fn.error_count().alias("n_errores"))
 
 
 @query
 def sms_candidates(e):
-    return _parsed_messages(e).select("seq", F.inline("candidatos"))
+    return sms_fn.candidate_lines(_parsed_messages(e))
 
 
 @query
 def sms_errors(e):
-    p = _parsed_messages(e).where(F.size("errores_parseo") > 0)
-    return p.select("seq", F.array_join("errores_parseo", " | ").alias("errores"))
+    return sms_fn.error_lines(_parsed_messages(e))
 
 
 @query
@@ -599,7 +633,8 @@ def sms_authorised(e):
 @query
 def parse_sms_lenient(e):
     p = sms_fn.parse_sms(e.messages, strict=False)
-    return p.select("seq", "sms_dep", "sms_val", "sms_nul", F.size("candidatos").alias("n_candidatos"))
+    return p.select("seq", "sms_dep", "sms_val", "sms_nul", F.size("candidatos").alias("n_candidatos"),
+                    F.size("huecos").alias("n_huecos"))
 
 
 @query
@@ -693,7 +728,7 @@ def department_in_documents(e):
 
 @query
 def votes_by_name(e):
-    t = e.files.where((F.col("origen") == K.IMAGEN) & (F.col("k") % 29 == 0))
+    t = e.files.where(F.col("origen") == K.IMAGEN)
     lines = F.split("text", "\n")
     return t.select("seq", *[st.votes_by_name(lines, f"C{i}").alias(f"c{i}") for i in range(1, 5)])
 
@@ -775,10 +810,23 @@ def inconsistencies_missing_times(e):
 @query
 def inconsistencies_duplicates(e):
     names = ("votos_validos", "votos_nulos", "votos_blancos", "departamento", "hash_origen")
-    facts = {"_p": F.min_by(F.struct("seq", *names), F.struct("fecha_recepcion", "seq"))}
+    facts = {"_p": F.min(stamp(F.col("fecha_recepcion"), F.col("seq")))}
     rows = attach(e.arriving, "acta_id", facts, "seq", min_rows=2)
-    previous = F.when(F.col("_p.seq") != F.col("seq"), F.struct(*[F.col(f"_p.{n}") for n in names]))
-    return _log(inc.conflicting_duplicates(rows.withColumn("previa", previous), "UPLOAD"))
+    later = rows.where(stamp_seq(F.col("_p")) != F.col("seq")).withColumn("_previo", stamp_seq(F.col("_p")))
+    first = e.arriving.select(F.col("seq").alias("_previo"), F.struct(*names).alias("previa"))
+    return _log(inc.conflicting_duplicates(later.join(first, "_previo"), "UPLOAD"))
+
+
+@query
+def append_sheets(e):
+    """Sheets to append to a store that has those of every fourth table already."""
+    stored = e.raw_sheets.where(F.col("k") % 4 == 0).select("acta_id", F.concat("hash_origen", F.lit("-0")).alias("hash_origen"))
+    # Of some sheets the first report comes from the file of the table before, so that only one
+    # of the two is stored; if it is not this one, the second report is.
+    before = F.sha2((F.col("k") - 1 + CODE_BASE).cast("string"), 256)
+    shifted = F.when((F.col("copia") == 0) & (F.col("k") % 42 == 0), before)
+    rows = e.arriving.withColumn("hash_origen", F.coalesce(F.concat(shifted, F.lit("-0")), F.col("hash_origen")))
+    return mach.storable_sheets(rows, stored).select("seq", "acta_id")
 
 
 @query
@@ -791,6 +839,13 @@ def official_rejects(e):
     return off.rejections(_validated(e)).select("fila", "codigo_acta", "motivo")
 
 
+@query
+def official_rejects_in_store(e):
+    """Rows of a later run: what the store has already is refused too."""
+    validated = off.validate_official(e.submitted, e.mesas, transcribed=e.transcribed)
+    return off.rejections(validated).select("fila", "codigo_acta", "motivo")
+
+
 @query
 def prevalidate_rows(e):
     return off.prevalidate_rows(e.submitted).select("fila", "motivo")
@@ -814,8 +869,7 @@ def preprocess_flags(e):
 @query
 def merge_visual_flags(e):
     flags = vis.visual_flags(e.measurements)
-    partial = e.measurements.where(F.col("k") % 4 != 0)
-    merged = vis.merge_visual(flags, vis.preprocess_flags(partial, e.cells))
+    merged = vis.merge_visual(flags, vis.preprocess_flags(e.cleaned, e.cells))
     return merged.select("acta_id", "mancha_detectada", "porcentaje_mancha", "numeros_sobreescritos",
                          "flag_revision_manual", "pipeline_python_usado",
                          F.size("observaciones").alias("n_observaciones"))
@@ -840,7 +894,8 @@ def sms_events(e):
 @query
 def sms_register(e):
     return mach.sms_register(e.judged_messages).select(
-        "seq", "telefono", "acta_id", "estado", F.array_join("errores", " | ").alias("errores"))
+        "seq", "telefono", "acta_id", "estado", F.array_join("errores", " | ").alias("errores"),
+        F.array_join(F.transform("huecos", lambda r: F.concat_ws("-", r["desde"], r["hasta"])), " | ").alias("huecos"))
 
 
 @query
@@ -858,6 +913,19 @@ def upload_outcomes(e):
     return _uploads(e).select("seq", "acta_id", "resultado", "estado")
 
 
+def _in_store(e) -> DataFrame:
+    """Sheets that came by message before: those of every fifth table."""
+    return e.sheets.where(F.col("k") % 5 == 0).select("acta_id", *mach._PREVIOUS)
+
+
+@query
+def upload_outcomes_in_store(e):
+    visual = F.lit(None).cast("struct<%s>" % mach._visual_ddl())
+    files = e.parsed_files.withColumn("validacion_visual", visual)
+    judged = mach.upload_outcomes(files, e.reference, stored=_in_store(e))
+    return judged.select("seq", "acta_id", "resultado", F.col("previa.hash_origen").alias("hash_previo"))
+
+
 @query
 def upload_events(e):
     return ev.upload_events(_uploads(e)).drop("metadata")

@@ -196,8 +196,7 @@ class Election:
         )
         arrival = F.timestamp_seconds(F.unix_seconds("_dia") + F.col("k") * 37 % 86400)
         return (
-            self.tallies.where(F.col("k") % 10 != 9)
-            .withColumns(
+            self.tallies.withColumns(
                 {"tipo_entrada": kind, "fecha_recepcion": arrival, "c1": F.col("P1") + flag(25)}
             )
             .join(self.places, "codigo_recinto")
@@ -354,11 +353,12 @@ class Election:
             "copia", F.explode(copies)
         )
         corrected = F.when(F.col("copia") == 2, 2).otherwise(0)
-        digits = lambda c: F.lpad(text(c), 3, "0")
+        # Three digits at least; a wider number is left whole.
+        digits = lambda c: F.lpad(text(c), F.greatest(F.length(text(c)), F.lit(3)), F.lit("0"))
 
         def spaced(c):
             d = digits(c)
-            drawn = F.concat_ws(" ", F.substring(d, 1, 1), F.substring(d, 2, 1), F.substring(d, 3, 1))
+            drawn = F.regexp_replace(d, r"\B", " ")
             return F.when(every(13), F.translate(drawn, *LOOKALIKE_RENDERING)).otherwise(drawn)
 
         zero = F.lit(0).cast("bigint")
@@ -472,8 +472,14 @@ class Election:
             share(19, 25, 10).alias("pre_stain_pct"),
             share(29, 60, 1000).alias("print_ratio"),
             letters.alias("campos_sospechosos"),
+            (~every(4)).alias("paso_limpieza"),
         )
 
+    @cached_property
+    def cleaned(self) -> DataFrame:
+        """Images that the cleaning step has measured: the sheets of three in four tables."""
+        return self.measurements.where("paso_limpieza")
+
     # --- events -------------------------------------------------------------------------
 
     @cached_property

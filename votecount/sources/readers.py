@@ -1,5 +1,8 @@
 """Readers for the file formats the counts arrive in."""
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,10 +11,20 @@ from votecount import schemas
 from votecount.functions.scalars import prefix_int, trim_all
 
 
-def _csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    # Columns are matched by header name, so files may order them as they like.
-    raw = reader.option("enforceSchema", False).csv(path)
+def _csv(spark: SparkSession, path: str, key: str, schema=None) -> DataFrame:
+    """Files of one folder, each by its own header; ``key`` is a column that all of them name.
+
+    Notes may hold line breaks within quotes. Files are grouped by their header line (which is
+    all that is collected), so columns are matched by name and pruned as in any CSV scan.
+    """
+    lines = spark.read.text(path).where(F.col("value").contains(key))
+    found = lines.select("value", F.col("_metadata.file_path").alias("f")).distinct().collect()
+    groups: dict[str, list[str]] = {}
+    for r in found:
+        groups.setdefault(r.value, []).append(unquote(r.f))
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True)
+    frames = [reader.csv(files) for files in groups.values()] if len(groups) > 1 else [reader.csv(path)]
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     if schema is None:
         return raw
     return raw.select(
@@ -20,7 +33,7 @@ def _csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def read_territory(spark: SparkSession, path: str) -> DataFrame:
-    return territory_rows(_csv(spark, path, schemas.TERRITORY))
+    return territory_rows(_csv(spark, path, "CodigoTerritorial", schemas.TERRITORY))
 
 
 def territory_rows(raw: DataFrame) -> DataFrame:
@@ -33,7 +46,7 @@ def territory_rows(raw: DataFrame) -> DataFrame:
 
 
 def read_precincts(spark: SparkSession, path: str) -> DataFrame:
-    return precinct_rows(_csv(spark, path, schemas.PRECINCT))
+    return precinct_rows(_csv(spark, path, "CodigoRecinto", schemas.PRECINCT))
 
 
 def precinct_rows(raw: DataFrame) -> DataFrame:
@@ -48,7 +61,7 @@ def precinct_rows(raw: DataFrame) -> DataFrame:
 
 def read_mesas(spark: SparkSession, path: str) -> DataFrame:
     """Tables out of a transcription file; only the four columns are parsed."""
-    return mesa_rows(_csv(spark, path))
+    return mesa_rows(_csv(spark, path, "CodigoActa"))
 
 
 def mesa_rows(raw: DataFrame) -> DataFrame:
@@ -62,7 +75,7 @@ def mesa_rows(raw: DataFrame) -> DataFrame:
 
 
 def read_transcriptions(spark: SparkSession, path: str) -> DataFrame:
-    return transcription_rows(_csv(spark, path))
+    return transcription_rows(_csv(spark, path, "CodigoActa"))
 
 
 def _lenient(raw: DataFrame, name: str) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votecount.operators.groups import first_wins
+from votecount.operators.machine import storable_sheets
 from votecount.operators.official import to_official_tables
 
 
@@ -28,11 +29,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if exists(spark, path) else None
 
 
-def append_sheets(sheets: DataFrame, path: str, order: Column) -> None:
-    """Store sheets whose id and source hash are both new."""
+def append_sheets(sheets: DataFrame, path: str) -> None:
+    """Store sheets whose id and source hash are both new, in the order of their arrival."""
     stored = read_store(sheets.sparkSession, path)
-    by_id = insert_if_absent(sheets, stored, "acta_id", order)
-    insert_if_absent(by_id, stored, "hash_origen", order).write.mode("append").parquet(path)
+    storable_sheets(sheets, stored).select(sheets.columns).write.mode("append").parquet(path)
 
 
 def append_sms(register: DataFrame, path: str, order: Column) -> None:
@@ -49,16 +49,14 @@ def append_inconsistencies(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def write_snapshot(snapshot: DataFrame, root: str) -> str:
-    """Write a new version beside the old ones; readers take the newest complete one.
+def write_snapshot(snapshot: DataFrame, root: str, version: int) -> str:
+    """Write a version (the batch id) beside the old ones; readers take the newest complete one.
 
     A version only counts once Spark's _SUCCESS file is in it, so a reader never sees a
-    half-written snapshot and a failed writer changes nothing.
+    half-written snapshot and a failed writer changes nothing. Writing one again replaces it.
     """
-    spark = snapshot.sparkSession
     stamped = snapshot.withColumn("ultima_actualizacion", F.current_timestamp())
-    number = max(_versions(spark, root), default=0) + 1
-    path = f"{root}/version={number}"
+    path = f"{root}/version={version}"
     stamped.write.mode("overwrite").parquet(path)
     return path
 

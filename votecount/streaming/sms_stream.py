@@ -3,16 +3,21 @@
 Each micro-batch runs the set-based plan against what earlier batches stored, and writes its
 results into folders named after the batch. A batch that is run again after a failure reads
 only the folders before its own and overwrites its own, so every message takes effect once.
+
+Register and sheets are laid out by a prefix of the hash they are looked up by, and a batch
+reads only the prefixes it holds, so that its cost follows its own size and not the history.
+Every batch also leaves its own counts; the snapshot adds those up and never reads the sheets.
 """
 
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from votecount import schemas
+from votecount.functions.sms import parse_sms, sms_hash
 from votecount.operators.events import sms_events
 from votecount.operators.machine import (
     SmsPolicy,
@@ -21,7 +26,7 @@ from votecount.operators.machine import (
     sms_register,
     sms_sheets,
 )
-from votecount.plans.snapshot import project_snapshot
+from votecount.plans.snapshot import long_snapshot, project_parts
 from votecount.sources.sinks import exists, write_snapshot
 
 
@@ -47,20 +52,45 @@ class Store:
     def inconsistencies(self) -> str:
         return f"{self.root}/inconsistencies"
 
+    @property
+    def parts(self) -> str:
+        return f"{self.root}/parts"
+
     @property
     def snapshot(self) -> str:
         return f"{self.root}/snapshot"
 
-    def read(self, spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-        """A stored table, optionally as it was before a batch."""
+    def read(
+        self, spark: SparkSession, path: str, before: int | None = None, prefixes: list[str] | None = None
+    ) -> DataFrame | None:
+        """A stored table, optionally as it was before a batch and of some prefixes only."""
         if not exists(spark, path):
             return None
         df = spark.read.option("basePath", path).parquet(path)
-        return df if before is None else df.where(F.col("lote") < before)
+        if before is not None:
+            df = df.where(F.col("lote") < before)
+        if prefixes is not None:
+            df = df.where(F.col("prefijo").isin(prefixes))
+        return df
+
 
+def prefix(key: Column) -> Column:
+    """Which of 256 folders a key belongs to; a letter in front keeps it a text."""
+    return F.concat(F.lit("p"), F.substring(F.sha2(key, 256), 1, 2))
 
-def _write(df: DataFrame, path: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/lote={batch}")
+
+def prefixes_of(df: DataFrame, key: Column) -> list[str]:
+    """The prefixes that occur, 256 at most."""
+    found = df.where(key.isNotNull()).select(prefix(key).alias("p")).distinct()
+    return sorted(r.p for r in found.collect())
+
+
+def _write(df: DataFrame, path: str, batch: int, key: str | None = None) -> None:
+    if key is None:
+        df.write.mode("overwrite").parquet(f"{path}/lote={batch}")
+    else:
+        placed = df.withColumn("prefijo", F.coalesce(prefix(F.col(key)), F.lit("p")))
+        placed.write.partitionBy("prefijo").mode("overwrite").parquet(f"{path}/lote={batch}")
 
 
 def process_batch(
@@ -73,33 +103,35 @@ def process_batch(
 ) -> None:
     """Judge one set of messages and store register, sheets, events, log and snapshot."""
     spark = messages.sparkSession
-    # Only the looked-up columns of the stored tables are read.
-    register = store.read(spark, store.register, batch)
-    sheets = store.read(spark, store.sheets, batch)
-    judged = sms_outcomes(
-        messages, policy, reference,
-        registered=None if register is None else register.select("hash_mensaje", "acta_id"),
-        stored=None if sheets is None else sheets.drop("lote"),
-    )
+    # Only the looked-up columns and prefixes of the stored tables are read.
+    register = sheets = None
+    if exists(spark, store.register):
+        texts = prefixes_of(messages, sms_hash(F.col("mensaje_raw")))
+        register = store.read(spark, store.register, batch, texts).select("hash_mensaje", "acta_id")
+    if exists(spark, store.sheets):
+        ids = prefixes_of(parse_sms(messages), F.col("sms_acta"))
+        sheets = store.read(spark, store.sheets, batch, ids).drop("lote", "prefijo")
+    judged = sms_outcomes(messages, policy, reference, registered=register, stored=sheets)
     # Reused by five writers; lost blocks are recomputed from the same inputs.
     judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _write(sms_events(judged), store.events, batch)
         _write(issues_of(judged), store.inconsistencies, batch)
-        _write(sms_sheets(judged), store.sheets, batch)
-        _write(sms_register(judged), store.register, batch)
+        _write(long_snapshot(sms_sheets(judged), issues_of(judged)), store.parts, batch)
+        _write(sms_sheets(judged), store.sheets, batch, "acta_id")
+        _write(sms_register(judged), store.register, batch, "hash_mensaje")
     finally:
         judged.unpersist()
     if printed is not None:
-        refresh_snapshot(spark, store, printed)
+        refresh_snapshot(spark, store, printed, batch)
 
 
-def refresh_snapshot(spark: SparkSession, store: Store, printed: DataFrame) -> None:
-    """Recompute the statistics snapshot from the stored tables."""
-    sheets = store.read(spark, store.sheets)
-    issues = store.read(spark, store.inconsistencies)
-    if sheets is not None and issues is not None:
-        write_snapshot(project_snapshot(sheets, printed, issues), store.snapshot)
+def refresh_snapshot(spark: SparkSession, store: Store, printed: DataFrame, batch: int) -> None:
+    """The statistics snapshot up to this batch, from the counts that batches left."""
+    parts = store.read(spark, store.parts, batch + 1)
+    if parts is not None:
+        added = parts.groupBy("grupo", "clave").agg(F.sum("cantidad").alias("cantidad"))
+        write_snapshot(project_parts(added, printed), store.snapshot, batch)
 
 
 def run_sms_stream(

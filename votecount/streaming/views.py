@@ -6,19 +6,6 @@ from pyspark.sql.streaming import StreamingQuery
 from votecount.plans.replay import arrivals, latest_state
 
 
-def latest_state_stream(events: DataFrame, name: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the latest event of every sheet in an in-memory table, one row per sheet."""
-    return (
-        latest_state(events)
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
 def latest_state_updates(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write the sheets whose latest event changed in each micro-batch, for large logs."""
 
