@@ -116,11 +116,27 @@ DEPARTMENT_CENTROIDS = {
 EMBEDDED_MARKER = "--- FUENTE: TEXTO_EMBEBIDO ---"
 FILE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".pdf", ".bmp", ".tiff")
 
-# Look-alike characters and the digit each one stands for.
-LOOKALIKES_DIGIT = ("OolI|BSZG", "001118526")
-LOOKALIKES_NUMBER = ("OolISBZG", "00115826")
-LOOKALIKES_FIELD = ("OoQlI|iZzEASsGbTBgq", "0001111223455667899")
-SUSPICIOUS_LETTERS = "CDFHJKLMNPRUVWXYacdefhjkmnprtuvwxy"
+# Look-alike characters and the digit each one stands for (fixed values).
+LOOKALIKES_DIGIT = {
+    "O": "0", "o": "0", "l": "1", "I": "1", "|": "1", "B": "8", "S": "5", "Z": "2", "G": "6",
+}
+LOOKALIKES_NUMBER = {
+    "O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "B": "8", "Z": "2", "G": "6",
+}
+LOOKALIKES_FIELD = {
+    "O": "0", "o": "0", "Q": "0",
+    "l": "1", "I": "1", "|": "1", "i": "1",
+    "Z": "2", "z": "2",
+    "E": "3",
+    "A": "4",
+    "S": "5", "s": "5",
+    "G": "6", "b": "6",
+    "T": "7",
+    "B": "8",
+    "g": "9", "q": "9",
+}
+# Letters that stand for no digit (fixed value); look-alikes among them count as look-alikes.
+SUSPICIOUS_LETTERS = "CDEFHJKLMNPRUVWXYacdfehjkmnprstuvwxy"
 
 # --- thresholds of the visual rules (fixed values) ----------------------------
 PENCIL_GRAY = (0.4, 0.9)

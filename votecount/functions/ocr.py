@@ -4,18 +4,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from votecount import constants as K
-from votecount.functions.scalars import strict_int, trim_all
+from votecount.functions.scalars import strict_int, translated, trim_all
 
 
 def ocr_digit(c: Column) -> Column:
     """Digit behind one character; anything unknown counts as 0."""
-    return F.coalesce(strict_int(F.translate(c, *K.LOOKALIKES_DIGIT)), F.lit(0)).cast("int")
+    return F.coalesce(strict_int(translated(c, K.LOOKALIKES_DIGIT)), F.lit(0)).cast("int")
 
 
 def ocr_number(c: Column) -> Column:
     """Number behind a blank-separated digit string; unreadable text counts as 0."""
     packed = trim_all(F.replace(c, F.lit(" "), F.lit("")))
-    return F.coalesce(strict_int(F.translate(packed, *K.LOOKALIKES_NUMBER)), F.lit(0))
+    return F.coalesce(strict_int(translated(packed, K.LOOKALIKES_NUMBER)), F.lit(0))
 
 
 def digits_only(c: Column) -> Column:
@@ -25,14 +25,12 @@ def digits_only(c: Column) -> Column:
 def repaired_field(c: Column) -> Column:
     """Numeric field with known substitutions applied and other letters shown as '?'."""
     kept = F.regexp_replace(c, r"[^0-9A-Za-z|]", "")
-    known, digits = K.LOOKALIKES_FIELD
-    unknown = K.SUSPICIOUS_LETTERS
-    return F.translate(kept, known + unknown, digits + "?" * len(unknown))
+    return translated(kept, dict.fromkeys(K.SUSPICIOUS_LETTERS, "?") | K.LOOKALIKES_FIELD)
 
 
 def is_suspicious(c: Column) -> Column:
     """True when a numeric field holds a letter that stands for no digit."""
-    return c.rlike(f"[{K.SUSPICIOUS_LETTERS}]")
+    return c.rlike("[" + "".join(x for x in K.SUSPICIOUS_LETTERS if x not in K.LOOKALIKES_FIELD) + "]")
 
 
 def choose_pass(a: Column, b: Column) -> Column:

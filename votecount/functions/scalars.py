@@ -74,3 +74,8 @@ def sum_votes(candidates: Column) -> Column:
     return F.aggregate(
         candidates, F.lit(0).cast("bigint"), lambda acc, c: acc + c["votos"].cast("bigint")
     )
+
+
+def translated(c: Column, table: dict[str, str]) -> Column:
+    """Each character of the table replaced by its partner."""
+    return F.translate(c, "".join(table), "".join(table.values()))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from votecount import constants as K
 from votecount.functions.ocr import digits_only, ocr_number
-from votecount.functions.scalars import compact, strict_int, sum_votes, trim_all
+from votecount.functions.scalars import compact, strict_int, sum_votes, translated, trim_all
 from votecount.functions.steps import once
 
 # Patterns of labels and digit groups. (?iu) folds accented letters too and
@@ -37,7 +37,7 @@ OCR_LINE_BYTES = 120
 OCR_TAIL_LETTERS = 2
 TRIPLETS_NEEDED = 7
 # In both kinds of triplet a letter outside the look-alike list counts as 0.
-_TRIPLET_DIGITS = (K.LOOKALIKES_DIGIT[0] + "bszg", K.LOOKALIKES_DIGIT[1] + "0000")
+_TRIPLET_DIGITS = K.LOOKALIKES_DIGIT | dict.fromkeys("bszg", "0")
 
 
 def annulled_text(text: Column, strict_annul: bool = False) -> Column:
@@ -64,7 +64,7 @@ def _first(items: Column) -> Column:
 
 
 def _as_triplet(chars: Column) -> Column:
-    return F.translate(F.regexp_replace(chars, r"\s", ""), *_TRIPLET_DIGITS).cast("bigint")
+    return translated(F.regexp_replace(chars, r"\s", ""), _TRIPLET_DIGITS).cast("bigint")
 
 
 def embedded_triplets(lines: Column) -> Column:
