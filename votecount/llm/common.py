@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it.
+
+    On a cluster that has it elsewhere (installed, or sent with the job) this changes nothing.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment
+    paths = known.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see.
 
@@ -21,6 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     its own; on a cluster that would be one machine's disk, so there it is an error. The folder
     holds tables that a returned DataFrame still reads, and may go once its result is written.
     """
+    importable(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -52,6 +67,7 @@ def fresh(key: Column) -> Column:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
