@@ -11,6 +11,8 @@ forest of its links, so that what leaves it is at most one row per member.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,10 +35,16 @@ def tune(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
     raise ValueError("no number of rows gives this recall")
 
 
+@lru_cache
+def _functions(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of 32-bit hash functions."""
+    a = constants(hashes, 11).astype(np.uint32) | np.uint32(1)
+    return a, (constants(hashes, 12) >> np.uint64(32)).astype(np.uint32)
+
+
 def minima(shingles: np.ndarray, hashes: int) -> np.ndarray:
     """The minimum of every hash function over a set that is not empty."""
-    a = constants(hashes, 11).astype(np.uint32) | np.uint32(1)
-    b = (constants(hashes, 12) >> np.uint64(32)).astype(np.uint32)
+    a, b = _functions(hashes)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     out = np.full(hashes, 0xFFFFFFFF, np.uint32)
     width = max(1, _STEP // hashes)

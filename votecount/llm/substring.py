@@ -63,7 +63,7 @@ def _paragraphs(bands: int, rows: int):
                 long = np.flatnonzero(np.diff(words.first) >= MIN_WORDS)
                 if not len(long):
                     continue
-                sets = shingle_sets(words_of(lines.take(pa.array(long)), BETWEEN_SPACES), SHINGLE)
+                sets = shingle_sets(words, SHINGLE, long)
                 keys = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
                 rows_of = pa.array(owner[long])
                 yield pa.RecordBatch.from_arrays(

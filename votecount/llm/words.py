@@ -9,6 +9,7 @@ Memory grows with the number of words; long columns are hashed a megabyte at a t
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache
 def constants(n: int, seed: int = 0) -> np.ndarray:
     """n odd 64-bit numbers that depend on the seed only."""
     steps = np.arange(1, n + 1, dtype=_U) + _U(seed << 32)
@@ -134,11 +136,14 @@ def sequence_hash(words: np.ndarray) -> np.ndarray:
     return mix(np.atleast_1d((words * _PLACES[: len(words)]).sum(dtype=_U) + _U(len(words))))
 
 
-def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
-    """Each text's distinct shingles, sorted; with fewer than n words the whole sequence is one."""
+def shingle_sets(words: Words, n: int, chosen: np.ndarray | None = None) -> list[np.ndarray]:
+    """Distinct shingles of each text (or of those chosen), sorted; fewer than n words are one shingle."""
     every = window_hashes(words.hash, n)
     sets = []
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+    first, last = words.first[:-1], words.first[1:]
+    if chosen is not None:
+        first, last = first[chosen], last[chosen]
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
         if b - a >= n:
             sets.append(np.unique(every[a : b - n + 1]))
         else:
