@@ -22,7 +22,7 @@ from votecount.llm.common import fresh_long
 from votecount.llm.words import constants, mix
 
 #: Size of a block: shingles in all, and members.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 19, 512
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 19, 128
 _STEP = 1 << 18
 
 
