@@ -17,6 +17,8 @@ from votecount.llm.common import saved, shared_folder, table
 
 #: Some stage (near-duplicate groups, packing) is beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+#: Similarity of five-word shingles from which documents are near copies, in percent.
+NEAR_PCT = 80
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, pct=NEAR_PCT)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
