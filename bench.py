@@ -6,7 +6,8 @@ BENCH_RUNS     timed runs per query, the median counts (default 1)
 BENCH_QUERIES  comma-separated names, or "all" (default: the question bank and one query for
                every other kind of plan)
 
-Rows are computed and thrown away inside the executors, so no result passes the driver.
+The session has the settings that users of the package get (``votecount.session``) and no others
+that change plans. Rows are computed and thrown away inside the executors, so no result passes the driver.
 """
 
 import json
@@ -59,10 +60,6 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
-        # The tables are one small file each. Joining all but the dimensions by shuffle keeps
-        # every thread busy, where a broadcast would leave the rest of the plan to one task.
-        .config("spark.sql.autoBroadcastJoinThreshold", "2m")
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         # Plans are built from many small calls; do not look up the caller for each.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
