@@ -137,9 +137,11 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Filters:
     """Filters from all languages of the labelled rows given, about ``rows`` rows of each."""
     named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = named.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    # One count per language, so that no text is shuffled to draw the sample.
+    sizes = named.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, rows / r.n)]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     drawn = F.pmod(F.xxhash64(text), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = named.join(sizes, F.col(lang) == F.col("_lang")).where(drawn < rows / F.col("_n"))
+    sample = named.where(drawn < F.element_at(share, F.col(lang)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

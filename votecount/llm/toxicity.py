@@ -171,10 +171,11 @@ def score(
     folder = shared_folder(docs.sparkSession)
     known = saved(_labelled(docs, labels, key, label), f"{folder}/labelled")
     plain = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("text"))
-    lexicon = learn_lexicon(plain.join(known.where("part = 0"), "_id").select("text", "label"))
+    # About SAMPLE rows of three numbers at most, so they can go to every task and no text is shuffled.
+    lexicon = learn_lexicon(plain.join(F.broadcast(known.where("part = 0")), "_id").select("text", "label"))
     measured = saved(feature_table(docs, lexicon, key, text), f"{folder}/features")
     vectors = VectorAssembler(inputCols=list(NAMES), outputCol="features")
-    taught = measured.join(known.where("part > 0"), F.col("key") == F.col("_id")).select("label", "part", *NAMES)
+    taught = measured.join(F.broadcast(known.where("part > 0")), F.col("key") == F.col("_id")).select("label", "part", *NAMES)
     # The sample is bounded, and so small that one partition is the cheapest to pass over often.
     taught = saved(taught.coalesce(1), f"{folder}/taught")
     kinds = {(r.part, r.label) for r in taught.select("part", "label").distinct().collect()}
