@@ -62,6 +62,18 @@ def test_filters_hold_what_was_put_in_and_correct_the_rest():
     assert (abs(hits[0] / total[0] - f.false) < 0.01).all()
 
 
+def test_a_very_long_text_is_looked_up_whole(monkeypatch):
+    rnd = random.Random(4)
+    texts = [sentence(rnd, "en", 3000) + sentence(rnd, "de", 9000), "der die", None]
+    sets = {lang: np.unique(g.grams(pa.array([sentence(rnd, lang, 500)]))[0]) for lang in FUNCTION_WORDS}
+    f = g.Filters(sets)
+    whole = f.decide(pa.array(texts))
+    monkeypatch.setattr(g, "PIECE", 1000)
+    parts = f.decide(pa.array(texts))
+    assert whole[0] == parts[0] == ["de", "de", "und"]
+    assert np.allclose(whole[1], parts[1], atol=0.01)
+
+
 def test_grams_do_not_cross_texts():
     found, first = g.grams(pa.array(["ab", None, "CD1e"]))
     parts = [found[a:b] for a, b in zip(first[:-1], first[1:])]

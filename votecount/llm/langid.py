@@ -38,6 +38,8 @@ CONTRAST = 0.3
 CELLS_PER_GRAM = 16
 PROBES = 3
 UNKNOWN = "und"
+#: Characters of a text that are looked up at once.
+PIECE = 1 << 20
 
 #: Letters of ASCII in lower case and all bytes beyond ASCII stay, all else becomes a blank.
 _FOLDED = np.full(256, 32, np.uint8)
@@ -54,8 +56,9 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(at) - 1
     # Every text is set between two blanks of its own.
     data = np.full(len(raw) + 2 * n, 32, np.uint8)
-    shift = np.repeat(2 * np.arange(n) + 1, np.diff(at))
-    data[np.arange(len(raw)) + shift] = _FOLDED[raw]
+    folded = _FOLDED[raw]
+    for i in range(n):
+        data[at[i] + 2 * i + 1 : at[i + 1] + 2 * i + 1] = folded[at[i] : at[i + 1]]
     if len(data) < GRAM:
         return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
     wide = data.astype(np.uint32)
@@ -105,9 +108,21 @@ class Filters:
                 hits[:, i] = np.diff(sums[first])
         return hits, total
 
+    def whole_hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``hits`` of texts of any length; a very long one is looked up piece by piece."""
+        values = texts.to_pylist()
+        if all(len(t or "") <= PIECE for t in values):
+            return self.hits(*grams(texts))
+        hits, total = np.zeros((len(values), len(self.names))), np.zeros(len(values))
+        for i, t in enumerate(values):
+            for k in range(0, len(t or ""), PIECE):
+                h, n = self.hits(*grams(pa.array([t[k : k + PIECE]], pa.large_string())))
+                hits[i] += h[0]
+                total[i] += n[0]
+        return hits, total
+
     def decide(self, texts: pa.Array) -> tuple[list[str], list[float]]:
-        found, first = grams(texts)
-        hits, total = self.hits(found, first)
+        hits, total = self.whole_hits(texts)
         kept = np.maximum(0, (hits - total[:, None] * self.false) / np.maximum(1e-9, 1 - self.false))
         if not self.names:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)

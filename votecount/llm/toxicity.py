@@ -81,12 +81,15 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     near = 0
     if met and second:
-        at = np.array(second)
-        near = sum(bool((abs(at - i) <= NEAR).any()) for i, _, _ in met)
+        # The next second-person word on either side of each hit.
+        at = np.array([-NEAR - 1, *second, len(words) + NEAR + 1])
+        hits = np.array([i for i, _, _ in met])
+        after = np.searchsorted(at, hits)
+        near = int((np.minimum(at[after] - hits, hits - at[after - 1]) <= NEAR).sum())
     upper = sum(map(str.isupper, raw)) / n
     letters = max(1, len(text))
     return [
-        float(min(n, 5000)),
+        float(n),
         float(len(met)),
         float(len({w for _, w, _ in met})),
         len(met) / n,
