@@ -46,19 +46,31 @@ _CHUNK = re.compile(r"[^ \t\n\r]+")
 #: Letters on which Python and the library agree about case and composition, then marks.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%&$#]*)\Z")
 _STEMS: dict[str, dict[str, bytes]] = {}
+#: The byte-level alphabet: bytes that print stand for themselves, the others follow from 256.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTS)))}
 
 
 def _encode_new(tokenizer, chunks: list[str], stems: dict[str, bytes]) -> dict[str, bytes]:
     """Ids of each chunk as little-endian bytes; letters and marks are encoded apart, once each."""
-    parts: dict[str, tuple[str, ...]] = {}
+    model, out, whole = tokenizer.model, {}, []
     for c in chunks:
         m = _PLAIN.match(c)
-        parts[c] = tuple(p for p in (m[1].lower(), m[2]) if p) if m else (c,)
-    new = list({p for ps in parts.values() for p in ps if p not in stems})
-    for batch in by_bytes(new):
-        for p, e in zip(batch, tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-            stems[p] = np.array(e.ids, "<u4").tobytes()
-    return {c: b"".join([stems[p] for p in ps]) for c, ps in parts.items()}
+        if not m:
+            whole.append(c)
+            continue
+        stem, marks = m[1].lower(), m[2]
+        if stem not in stems:
+            # A run of such letters is one pre-token, so it can go to the model as it is.
+            spelled = stem.encode().decode("latin-1").translate(_ALPHABET)
+            stems[stem] = np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
+        if marks and marks not in stems:
+            stems[marks] = np.array(tokenizer.encode(marks, add_special_tokens=False).ids, "<u4").tobytes()
+        out[c] = stems[stem] + stems[marks] if marks else stems[stem]
+    for batch in by_bytes(whole):
+        for c, e in zip(batch, tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+            out[c] = np.array(e.ids, "<u4").tobytes()
+    return out
 
 
 def encode_texts(path: str, texts: list[str]) -> Iterator[np.ndarray]:
