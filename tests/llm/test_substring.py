@@ -75,3 +75,56 @@ def test_one_very_common_passage(spark):
     got = s.report(docs(spark, texts)).collect()
     assert sum(passage in r.text for r in got) == 1
     assert all(r.text.endswith(texts[r.doc_id].split("\n")[1]) for r in got)
+
+
+def uncovered(texts):
+    """Per text the words that no window of 50 words with an equal one before it covers."""
+    seen, out = set(), []
+    for t in texts:
+        w = t.split()
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            window = tuple(w[i : i + 50])
+            if window in seen:
+                gone[i : i + 50] = [True] * 50
+            seen.add(window)
+        out.append([x for x, g in zip(w, gone, strict=True) if not g])
+    return out
+
+
+def test_shared_runs_across_and_within_lines(spark):
+    """Runs in short lines, inside long lines and twice in one text, as a brute force over windows says."""
+    rnd = random.Random(14)
+    runs = [line(rnd, n).split() for n in (49, 50, 63, 90, 400)]
+
+    def broken(w):
+        """Lines of at most 29 words, which are no paragraphs."""
+        ends = [rnd.choice([" ", " ", "\t"]) if i % 25 else rnd.choice(["\n", " \n\n"]) for i in range(len(w))]
+        return "\n" + "".join(x + e for x, e in zip(w, ends, strict=True)) + "\n"
+
+    texts = [f"{line(rnd, 200)} {' '.join(runs[3])}"]
+    for _ in range(60):
+        parts = [line(rnd, rnd.choice([0, 5, 90, 200])) + rnd.choice(["\n", " "]) for _ in range(4)]
+        for _ in range(rnd.randint(0, 2)):
+            run = rnd.choice(runs)
+            cut = rnd.randint(0, len(run) - 49)
+            # Inside a line the rest is long enough for the paragraphs to be unlike.
+            within = f"{line(rnd, 2 * len(run))} {' '.join(run[cut:])} "
+            parts.insert(rnd.randint(0, 4), rnd.choice([broken(run[cut:]), within]))
+        texts.append("".join(parts))
+    texts.append("\n".join(" ".join(runs[3][i : i + 9]) for i in range(0, 90, 9)) + "\nend \u00e9 \u6f22")
+    got = {r.doc_id: r for r in s.report(docs(spark, texts)).collect()}
+    wanted = uncovered(texts)
+    for i, t in enumerate(texts):
+        assert got[i].text.split() == wanted[i]
+        assert (got[i].text == t) == (not got[i].removed_lines and not got[i].cut_lines)
+        assert set(got[i].kept_in) <= set(range(i + 1))
+    assert sum(len(t.split()) > len(w) for t, w in zip(texts, wanted, strict=True)) > 20
+    assert got[61].text == "end \u00e9 \u6f22" and got[61].removed_lines == list(range(10))
+
+
+def test_a_phrase_over_and_over_goes_only_in_later_documents(spark):
+    rnd = random.Random(15)
+    column, block = "stock line\n" * 60, (line(rnd, 20) + "\n") * 2 + line(rnd, 20) + "\n"
+    got = {r.doc_id: r.text for r in s.report(docs(spark, [column, f"own words\n{column}", block + block])).collect()}
+    assert got == {0: column, 1: "own words\n", 2: block}

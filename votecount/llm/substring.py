@@ -1,12 +1,15 @@
-"""Passages that repeat across documents, found by MinHash banding of paragraphs.
+"""Passages that repeat across documents: near copies of paragraphs, then shared runs of words.
 
 A paragraph is a line of at least ``MIN_WORDS`` words, the set of its distinct five-word shingles.
 Equal sets are one class. Bands are tuned for high recall, colliding paragraphs meet as stars, and
 links are decided on the exact Jaccard similarity of the full sets (0.8). Of every component of
 links the first occurrence (smallest document id, then line) stays and all others are removed.
+Of what is left, every run of 50 words or more that occurs before (smallest document id, then place)
+is removed in its full span, across line breaks and within lines (``passages``).
 
-Edge cases: null and empty texts come back as they are; shorter lines are never removed, so stock
-phrases and headings stay; identical rows (same id, same text) are one occurrence, and a passage
+Edge cases: null and empty texts come back as they are; shorter lines are removed only as parts of a
+longer shared run, so stock phrases and headings stay; what stood on both sides of a removed run is
+not compared again as one; identical rows (same id, same text) are one occurrence, and a passage
 repeated within a document goes too; rows without an id count as last, told apart by their text;
 ties fall to the smaller line; a text may end up empty; an empty table gives an empty result. Other
 columns pass through whatever their names. Very long texts are hashed in parts; the removals of one
@@ -24,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from votecount.llm import passages
 from votecount.llm.common import fresh_long, saved, shared_folder
 from votecount.llm.components import components
 from votecount.llm.setlinks import band_keys, exact_links, minima, stars, tune, with_blocks
@@ -101,13 +105,16 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _occurrences(docs: DataFrame, key: str, text: str, pct: int, folder: str) -> DataFrame:
-    """Paragraphs that have a copy: root (the name of the group), id, d1, d2, line."""
-    bands, rows = tune(pct / 100, RECALL, HASHES)
-    plain = docs.select(
+def _plain(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(
         F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"),
         *[c.alias(n.strip("_")) for n, c in _document_key(key, text).items()],
     )
+
+
+def _occurrences(plain: DataFrame, pct: int, folder: str) -> DataFrame:
+    """Paragraphs that have a copy: root (the name of the group), id, d1, d2, line."""
+    bands, rows = tune(pct / 100, RECALL, HASHES)
     # The number of a paragraph is drawn once, when the table is written.
     paragraphs = plain.mapInArrow(_paragraphs(bands, rows), _ROW).withColumn("p", F.monotonically_increasing_id())
     paragraphs = saved(paragraphs, f"{folder}/paragraphs")
@@ -135,28 +142,49 @@ def _occurrences(docs: DataFrame, key: str, text: str, pct: int, folder: str) ->
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", pct: int = PCT) -> DataFrame:
-    """All columns of ``docs``, the text without repeats, and ``__removed``: lines, kept_in (ids)."""
-    met = _occurrences(docs, key, text, pct, f"{shared_folder(docs.sparkSession)}/substring")
+    """All columns of ``docs``, the text without repeats, and ``__removed``: lines, cut (lines), kept_in (ids)."""
+    folder = f"{shared_folder(docs.sparkSession)}/substring"
+    plain = _plain(docs, key, text)
+    met = _occurrences(plain, pct, folder)
     place = F.struct(F.col("id").isNull().alias("no"), "id", "line", "d1", "d2")
     stays = met.groupBy("root").agg(F.min(place).alias("stays"))
     stays = stays.select(fresh_long(F.col("root")).alias("key"), "stays")
     gone = met.withColumn("key", fresh_long(F.col("root"))).join(stays, "key").where(place != F.col("stays"))
     gone = gone.groupBy("d1", "d2").agg(
-        F.array_sort(F.collect_set("line")).alias("lines"), F.array_sort(F.collect_set("stays.id")).alias("kept_in")
-    )
-    gone = gone.select(
-        F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.struct("lines", "kept_in").alias("__removed")
+        F.array_sort(F.collect_set("line")).alias("lines"), F.collect_set("stays.id").alias("kept_in")
     )
+    gone = saved(gone, f"{folder}/gone")
+    runs = passages.repeats(plain, gone, f"{folder}/passages").withColumnRenamed("kept_in", "also")
+    none = F.array().cast
+    all_ids = F.array_union(*[F.coalesce(c, none("array<bigint>")) for c in ("kept_in", "also")])
+    gone = gone.join(runs, ["d1", "d2"], "full").select(
+        F.col("d1").alias("__d1"), F.col("d2").alias("__d2"),
+        F.struct(F.coalesce("lines", none("array<int>")).alias("lines"), "starts", F.array_sort(all_ids).alias("kept_in")).alias("__gone"),
+    )
+    gone = saved(gone, f"{folder}/all")
     df = docs.withColumns(_document_key(key, text)).join(gone, ["__d1", "__d2"], "left")
+    # Only texts with runs to cut go through Python.
+    cut_runs = F.arrow_udf(passages.cut, passages.CUT)
+    starts = F.col("__gone.starts")
+    df = df.withColumn("__cut", cut_runs(F.when(starts.isNotNull(), F.col(text)), F.col("__gone.lines"), starts))
     lines = F.split(F.col(text), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed.lines"))
-    cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    new = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(cut)
-    return df.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "__removed")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone.lines"))
+    without = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    new = F.when(F.col("__gone").isNull(), F.col(text)).when(starts.isNotNull(), F.col("__cut.text")).otherwise(without)
+    removed = F.struct(
+        F.coalesce("__cut.removed", "__gone.lines").alias("lines"),
+        F.coalesce("__cut.cut", none("array<int>")).alias("cut"),
+        F.col("__gone.kept_in").alias("kept_in"),
+    )
+    removed = F.when(F.col("__gone").isNotNull(), removed).alias("__removed")
+    return df.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], removed)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", pct: int = PCT) -> DataFrame:
-    """Per document: key, text (without repeats), n_lines, n_removed, removed_lines, kept_in."""
+    """Per document: key, text (without repeats), n_lines, n_removed, removed_lines, cut_lines, kept_in.
+
+    Removed lines are gone whole; of cut lines a part is.
+    """
     plain = docs.select(key, text).withColumn("__n", F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")))
     found = remove_repeats(plain, key, text, pct)
     none = F.array().cast
@@ -166,6 +194,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", pct: int =
         F.col("__n").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("__removed.lines"), F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce("__removed.lines", none("array<int>")).alias("removed_lines"),
+        F.coalesce("__removed.cut", none("array<int>")).alias("cut_lines"),
         F.coalesce("__removed.kept_in", none("array<bigint>")).alias("kept_in"),
     )
 
