@@ -122,3 +122,19 @@ def test_no_links_at_all(spark, tmp_path):
     none = spark.createDataFrame([(1, 1)], "a long, b long")
     assert c.components(none, str(tmp_path / "c")).columns == ["node", "component"]
     assert c.components(none, str(tmp_path / "d")).count() == 0
+
+
+def test_near_copies_that_meet_through_an_unlike_hub(spark, monkeypatch):
+    """One band for all: each bucket is named by a hub of similarity 0.3 to the pairs that meet in it."""
+    monkeypatch.setattr(m, "band_keys", lambda lows, bands, rows: np.zeros(1, np.int64))
+    rnd = random.Random(16)
+    common = [f"c{i}" for i in range(100)]
+    own = lambda k: [f"x{rnd.randint(0, 10**9)}" for _ in range(k)]
+    texts = [" ".join(common + own(110))]
+    for _ in range(20):
+        base = common + own(110)
+        texts += [" ".join(base), " ".join(base[:-8] + own(8))]
+    sets, roots = brute(texts)
+    assert 0.25 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.35
+    got = {r.doc_id: r.component_id for r in m.groups(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(roots)) and len(set(roots)) == 21

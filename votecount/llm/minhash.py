@@ -2,11 +2,10 @@
 
 A document is the set of its distinct five-word shingles. Equal sets are one class, which takes part
 once. Of every class the minima of 192 hash functions are banded (tuned so that a pair at the
-threshold is missed once in a million); of each minimum the low two bits are kept and packed into
-longs. Candidates come from the bands as stars; the bit counts of two packed signatures estimate the
-similarity, corrected for the chance that different minima agree in their low bits, and only hopeless
-candidates are dropped by it (0.4, far below the threshold of 0.85 in all noise). What is linked is
+threshold is missed once in a million). Candidates come from the bands as stars, all of which count:
+a star's centre may be unlike two members that are near copies of each other. What is linked is
 decided on the full sets (``setlinks.exact_links``); components of the links are the groups.
+``packed`` and ``estimate`` (similarity from two bits of each minimum) judge a pair by itself only.
 
 Edge cases: a text with fewer than five words is one shingle, its whole sequence; a null text or one
 without words has an empty set and is linked with nothing; equal texts are one group, named by their
@@ -35,8 +34,6 @@ SHINGLE = 5
 PCT = 85
 HASHES, RECALL = 192, 0.999999
 BITS = 2
-#: Estimated similarity under which a candidate is dropped before the exact comparison.
-HOPELESS = 0.4
 _SIGNED = np.int64
 
 
@@ -60,7 +57,7 @@ def estimate(a, b):
     return (agree - chance) / (1 - chance)
 
 
-_ROW = "id bigint, t bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, bits array<bigint>"
+_ROW = "id bigint, t bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
 
 
 def _signatures(bands: int, rows: int):
@@ -70,7 +67,6 @@ def _signatures(bands: int, rows: int):
                 sets = shingle_sets(words_of(batch.column("text"), BETWEEN_SPACES), SHINGLE)
                 keys = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), _SIGNED) for s in sets]
                 lows = [minima(s, HASHES) if len(s) else None for s in sets]
-                bits = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"),
@@ -78,10 +74,9 @@ def _signatures(bands: int, rows: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
-                        pa.array([None if x is None else band_keys(x, bands, rows) for x in lows], bits),
-                        pa.array([None if x is None else packed(x) for x in lows], bits),
+                        pa.array([None if x is None else band_keys(x, bands, rows) for x in lows], pa.list_(pa.int64())),
                     ],
-                    ["id", "t", "n", "k1", "k2", "bands", "bits"],
+                    ["id", "t", "n", "k1", "k2", "bands"],
                 )
 
     return signed
@@ -109,15 +104,13 @@ def _grouped(docs: DataFrame, key: str, text: str, pct: int) -> DataFrame:
     classes = saved(
         signed.where("n > 0")
         .groupBy("k1", "k2", "n")
-        .agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")),
+        .agg(F.min("id").alias("id"), F.first("bands").alias("bands")),
         f"{folder}/classes",
     )
     named = classes.where("id is not null")
     pairs = stars(named.select("id", F.explode("bands").alias("band")))
-    left = named.select(F.col("id").alias("rep"), F.col("bits").alias("rep_bits"))
-    likely = pairs.join(named.select("id", "bits"), "id").join(left, "rep")
-    likely = likely.where(estimate(F.col("bits"), F.col("rep_bits")) >= HOPELESS)
-    coarse = components(likely.select(F.col("rep").alias("a"), F.col("id").alias("b")), f"{folder}/coarse")
+    # No spoke is dropped by an estimate: two near copies may meet only through a third, unlike document.
+    coarse = components(pairs.select(F.col("rep").alias("a"), F.col("id").alias("b")), f"{folder}/coarse")
     members = coarse.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     # Two texts under one id are one node with both sets.
     sizes = named.groupBy("id").agg(F.sum("n").alias("n"))
