@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from votecount.llm import decontaminate, langid, minhash, packing, quality, substring, tokens, toxicity, urls, warc
+from votecount.llm import decontaminate, langid, minhash, packing, quality, substring, tokens, topk, toxicity, urls, warc, whitening
 from votecount.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,14 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.groups(table(spark, folder, "documents"))
 
 
+def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), asks=F.col("vec_id") % 50 == 0)
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -65,6 +74,8 @@ QUERIES: dict[str, Query] = {
         op8_warc,
         op9_packing,
         op10_minhash_near_dedup,
+        op11_exact_top_k,
+        op13_embedding_whitening,
     )
 }
 
@@ -74,4 +85,5 @@ ORACLE: dict[str, str] = {
     "op7_benchmark_decontamination": decontaminate.SQL,
     "op8_warc": warc.SQL,
     "op10_minhash_near_dedup": minhash.SQL,
+    "op11_exact_top_k": topk.SQL,
 }
