@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votecount.llm import decontaminate, langid, minhash, packing, quality, substring, tokens, topk, toxicity, urls, warc, whitening
+from votecount.llm import (
+    decontaminate,
+    langid,
+    minhash,
+    packing,
+    quality,
+    substring,
+    tokens,
+    topk,
+    toxicity,
+    urls,
+    variants,
+    warc,
+    whitening,
+)
 from votecount.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +71,10 @@ def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), asks=F.col("vec_id") % 50 == 0)
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(table(spark, folder, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
@@ -75,6 +93,7 @@ QUERIES: dict[str, Query] = {
         op9_packing,
         op10_minhash_near_dedup,
         op11_exact_top_k,
+        op12_spelling_variants,
         op13_embedding_whitening,
     )
 }
@@ -86,4 +105,5 @@ ORACLE: dict[str, str] = {
     "op8_warc": warc.SQL,
     "op10_minhash_near_dedup": minhash.SQL,
     "op11_exact_top_k": topk.SQL,
+    "op12_spelling_variants": variants.SQL,
 }
