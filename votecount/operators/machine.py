@@ -197,11 +197,15 @@ def greedy_first(files: DataFrame) -> DataFrame:
     the id unless only the file name holds the code. Each round is cut off from the ones
     before, so lost executors replay one round only.
 
+    A missing hash is shared with no other file and blocks none; a missing id counts as an id.
+
     Input columns: seq, fecha_recepcion, hash_origen, acta_id. Output: seq, resultado and
     ``previo`` (seq of the stored file that blocks it, NULL for stored ones).
     """
     arrival = stamp(F.col("fecha_recepcion"), F.col("seq")).alias("orden")
-    every = files.select("seq", arrival, "hash_origen", "acta_id")
+    own_hash = F.coalesce(F.concat(F.lit("="), "hash_origen"), F.concat(F.lit("-"), F.col("seq").cast("string")))
+    own_id = F.coalesce(F.concat(F.lit("="), "acta_id"), F.lit(""))
+    every = files.select("seq", arrival, own_hash.alias("hash_origen"), own_id.alias("acta_id"))
     shared = lambda c: F.count(F.lit(1)).alias(c)
     counted = attach(every, "hash_origen", {"_nh": shared("_nh")}, "seq", min_rows=2)
     counted = cut(attach(counted, "acta_id", {"_na": shared("_na")}, "seq", min_rows=2, source=every))

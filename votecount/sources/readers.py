@@ -9,22 +9,40 @@ from pyspark.sql import functions as F
 from votecount import constants as K
 from votecount import schemas
 from votecount.functions.scalars import prefix_int, trim_all
+from votecount.operators.lineage import cut
+from votecount.sources import quoted_csv as qc
 
 
-def _csv(spark: SparkSession, path: str, key: str, schema=None) -> DataFrame:
-    """Files of one folder, each by its own header; ``key`` is a column that all of them name.
+def _csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Files of one folder, each by its own first line; columns are matched by name.
 
-    Notes may hold line breaks within quotes. Files are grouped by their header line (which is
-    all that is collected), so columns are matched by name and pruned as in any CSV scan.
+    Notes may hold line breaks within quotes. Files of one split go to Spark's reader, which takes
+    such a file as a whole; larger ones are cut up (``quoted_csv``). Files with one header are read
+    together; only their headers and names come to the driver.
     """
-    lines = spark.read.text(path).where(F.col("value").contains(key))
-    found = lines.select("value", F.col("_metadata.file_path").alias("f")).distinct().collect()
-    groups: dict[str, list[str]] = {}
-    for r in found:
-        groups.setdefault(r.value, []).append(unquote(r.f))
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True)
-    frames = [reader.csv(files) for files in groups.values()] if len(groups) > 1 else [reader.csv(path)]
-    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    splits = qc.scan(qc.lines_of(spark, path)).persist()
+    try:
+        heads = splits.where("head IS NOT NULL").select("f", "head")
+        large = splits.where("b > 0").select("f").distinct()
+        found = heads.join(large.withColumn("large", F.lit(True)), "f", "left").collect()
+        groups: dict[tuple[str, bool], list[str]] = {}
+        for r in found:
+            groups.setdefault((r.head, bool(r.large)), []).append(r.f if r.large else unquote(r.f))
+        starts = cut(qc.begins(splits)) if any(is_large for _, is_large in groups) else None
+    finally:
+        splits.unpersist()
+    reader = spark.read.options(header=True, multiLine=True, **qc.OPTIONS)
+    frames = []
+    for (head, is_large), files in groups.items():
+        if is_large:
+            # Of the same listing, so that it is cut in the same places.
+            lines = qc.lines_of(spark, path)
+            if len(groups) > 1:
+                lines = lines.where(F.col("f").isin(files))
+            frames.append(qc.parsed(qc.records(lines, starts), head))
+        else:
+            frames.append(reader.csv(files if len(groups) > 1 else path))
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else reader.csv(path)
     if schema is None:
         return raw
     return raw.select(
@@ -33,7 +51,7 @@ def _csv(spark: SparkSession, path: str, key: str, schema=None) -> DataFrame:
 
 
 def read_territory(spark: SparkSession, path: str) -> DataFrame:
-    return territory_rows(_csv(spark, path, "CodigoTerritorial", schemas.TERRITORY))
+    return territory_rows(_csv(spark, path, schemas.TERRITORY))
 
 
 def territory_rows(raw: DataFrame) -> DataFrame:
@@ -46,7 +64,7 @@ def territory_rows(raw: DataFrame) -> DataFrame:
 
 
 def read_precincts(spark: SparkSession, path: str) -> DataFrame:
-    return precinct_rows(_csv(spark, path, "CodigoRecinto", schemas.PRECINCT))
+    return precinct_rows(_csv(spark, path, schemas.PRECINCT))
 
 
 def precinct_rows(raw: DataFrame) -> DataFrame:
@@ -61,7 +79,7 @@ def precinct_rows(raw: DataFrame) -> DataFrame:
 
 def read_mesas(spark: SparkSession, path: str) -> DataFrame:
     """Tables out of a transcription file; only the four columns are parsed."""
-    return mesa_rows(_csv(spark, path, "CodigoActa"))
+    return mesa_rows(_csv(spark, path))
 
 
 def mesa_rows(raw: DataFrame) -> DataFrame:
@@ -75,7 +93,7 @@ def mesa_rows(raw: DataFrame) -> DataFrame:
 
 
 def read_transcriptions(spark: SparkSession, path: str) -> DataFrame:
-    return transcription_rows(_csv(spark, path, "CodigoActa"))
+    return transcription_rows(_csv(spark, path))
 
 
 def _lenient(raw: DataFrame, name: str) -> Column:
