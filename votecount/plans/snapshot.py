@@ -60,6 +60,16 @@ def long_snapshot(sheets: DataFrame, inconsistencies: DataFrame) -> DataFrame:
     return breakdown(sheets).unionByName(inconsistency_breakdown(inconsistencies))
 
 
+def signed_breakdown(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What changed sheets add to the counts: their old version counts off, the new one on.
+
+    Added to earlier counts this gives those of the changed sheets; groups without a change are left out.
+    """
+    off = breakdown(before).withColumn("cantidad", -F.col("cantidad"))
+    change = breakdown(after).unionByName(off).groupBy("grupo", "clave").agg(F.sum("cantidad").alias("cantidad"))
+    return change.where("cantidad <> 0")
+
+
 def victory_margin(candidate_totals: DataFrame, valid: DataFrame) -> DataFrame:
     """Gap between the two best candidates in percent of the valid votes, two decimals.
 

@@ -41,12 +41,21 @@ def append_sms(register: DataFrame, path: str, order: Column) -> None:
     insert_if_absent(register, stored, "hash_mensaje", order).write.mode("append").parquet(path)
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").parquet(path)
+def append_events(events: DataFrame, path: str, batch: int | None = None) -> None:
+    """Add to the event log; a numbered batch has a folder of its own and may be written again."""
+    _append(events, path, batch)
 
 
-def append_inconsistencies(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_inconsistencies(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Add to the inconsistency log, as ``append_events`` does."""
+    _append(rows, path, batch)
+
+
+def _append(rows: DataFrame, path: str, batch: int | None) -> None:
+    if batch is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/lote={batch}")
 
 
 def write_snapshot(snapshot: DataFrame, root: str, version: int) -> str:
@@ -61,17 +70,26 @@ def write_snapshot(snapshot: DataFrame, root: str, version: int) -> str:
     return path
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
+def _names(spark: SparkSession, root: str, start: str) -> list[str]:
+    """Names of the folders in a folder that begin so."""
     if not exists(spark, root):
         return []
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(root)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    numbers = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
+    return [n for n in (s.getPath().getName() for s in fs.listStatus(folder)) if n.startswith(start)]
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    numbers = [int(n.split("=")[1]) for n in _names(spark, root, "version=")]
     return [n for n in numbers if exists(spark, f"{root}/version={n}/_SUCCESS")]
 
 
+def next_version(spark: SparkSession, root: str) -> int:
+    """A number above those in use: several channels refresh one snapshot."""
+    return max(_versions(spark, root), default=-1) + 1
+
+
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     done = _versions(spark, root)
     return spark.read.parquet(f"{root}/version={max(done)}") if done else None
@@ -80,12 +98,22 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
 def write_official(valid: DataFrame, sheets_path: str, votes_path: str, batch: str) -> None:
     """Sheet rows and vote rows of one batch, each under the batch's own folder.
 
-    Writing the same batch again replaces it. Votes go first: a sheet is visible only once
-    its votes are.
+    Writing the same batch again replaces it. Votes go first, and a batch counts once both its
+    folders are complete (``read_official``): a failed second write leaves nothing to be seen.
     """
     sheets, votes = to_official_tables(valid)
-    votes.write.mode("overwrite").parquet(f"{votes_path}/lote={batch}")
-    sheets.write.mode("overwrite").parquet(f"{sheets_path}/lote={batch}")
+    for rows, path in ((votes, votes_path), (sheets, sheets_path)):
+        rows.write.mode("overwrite").parquet(f"{path}/lote={batch}")
+
+
+def read_official(spark: SparkSession, sheets_path: str, votes_path: str) -> tuple[DataFrame, DataFrame] | None:
+    """Sheets and votes of the batches that have both."""
+    names = [set(_names(spark, p, "lote=")) for p in (sheets_path, votes_path)]
+    done = [n for n in sorted(names[0] & names[1]) if all(exists(spark, f"{p}/{n}/_SUCCESS") for p in (sheets_path, votes_path))]
+    if not done:
+        return None
+    read = lambda p: spark.read.option("basePath", p).parquet(*[f"{p}/{n}" for n in done])
+    return read(sheets_path), read(votes_path)
 
 
 def truncate_official(spark: SparkSession, sheets_path: str, votes_path: str) -> None:
