@@ -108,3 +108,12 @@ def test_greedy_files_with_chains(spark, seed):
         "seq long, fecha_recepcion timestamp, hash_origen string, acta_id string")
     got = {r.seq: (r.resultado, r.previo) for r in m.greedy_first(df).collect()}
     assert got == brute_force(rows)
+
+
+def test_sheets_without_a_hash_are_all_stored(spark):
+    rows = [(1, "A", "h1"), (2, "B", None), (3, "C", None), (4, "D", "h4"), (5, "B", None), (6, "E", "h1")]
+    sheets = spark.createDataFrame(rows, "seq long, acta_id string, hash_origen string").withColumn(
+        "fecha_recepcion", F.timestamp_seconds(F.col("seq")))
+    assert sorted(r.seq for r in m.storable_sheets(sheets).collect()) == [1, 2, 3, 4]
+    stored = spark.createDataFrame([("D", None), ("Z", "h1")], "acta_id string, hash_origen string")
+    assert sorted(r.seq for r in m.storable_sheets(sheets, stored).collect()) == [2, 3]

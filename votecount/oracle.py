@@ -829,6 +829,24 @@ FROM (SELECT f.*, f.k % 4 <> 0 AS u, f.k % 4 <> 0 AND p.mancha_detectada AS pm,
 SELECT f.acta_id, lapiz_detectado OR tachadura_detectada OR numeros_sobreescritos OR confusion_alfanumerica OR huellas_zona_numeros
        OR rotura_detectada OR f.mancha_detectada OR p.mancha_detectada OR NOT firmas_suficientes AS con_alertas
 FROM flg f JOIN pre p ON f.k = p.k"""),
+    # SQL over the registered views
+    "sql_official_by_municipality": _base("SELECT * FROM muni"),
+    "sql_top_precincts": _base("""
+SELECT recinto, CAST(sum(P2) AS BIGINT) AS votos, 'P2' AS candidato FROM tr GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7"""),
+    "sql_high_abstention": _base("""
+SELECT * FROM (
+  SELECT departamento, recinto, nro_mesa, codigo_acta, votantes_habilitados, papeletas_anfora AS votos_emitidos,
+         CASE WHEN votantes_habilitados > 0 THEN (votantes_habilitados - papeletas_anfora) / votantes_habilitados * 100
+              ELSE 0.0 END AS abstencion_pct FROM tr) WHERE abstencion_pct > 15.0 AND departamento = 'La Paz'"""),
+    "sql_votes_below": _base(f"""
+SELECT municipio AS geo, {_SUMS}, CAST(sum(P1 + P2 + P3 + P4) AS BIGINT) AS total_votos FROM tr WHERE departamento = 'La Paz' GROUP BY 1
+UNION ALL
+SELECT provincia, {_SUMS}, CAST(sum(P1 + P2 + P3 + P4) AS BIGINT) FROM tr
+WHERE departamento = 'La Paz' AND provincia = 'BUILDING' GROUP BY 1"""),
+    "sql_sheet_history": _with("""
+SELECT 'evento' AS seccion, event_type AS detalle, ts::TIMESTAMP AS fecha FROM events WHERE user_id = 7
+UNION ALL SELECT 'inconsistencia', tipo, fecha FROM log WHERE k = 7
+UNION ALL SELECT 'estado_actual', estado, fecha_recepcion FROM sh WHERE k = 7""", _QUICK, _LOG),
     # events
     "sms_events": _messages("""
 SELECT seq, CAST(paso AS INTEGER) AS paso, acta_id, tipo_evento, llegada AS fecha FROM (
@@ -854,6 +872,17 @@ SELECT up.seq, up.acta_id, CASE WHEN s.k IS NOT NULL THEN 'DUPLICADO_ACTA' ELSE
             WHEN resultado <> 'GUARDADA' THEN sha256(t.texto) END AS hash_previo
 FROM up LEFT JOIN sh s ON s.acta_id = up.acta_id AND s.k % 5 = 0
 LEFT JOIN kept p ON p.acta_id = up.acta_id LEFT JOIN ftx t ON t.seq = p.pk * 4 + p.pcopia""", _QUICK, _FILES, _FILE_TEXT),
+    "upload_states_by_image": _with("""
+SELECT seq, acta_id, resultado, CASE WHEN motivo <> '' THEN 'ANULADA' WHEN malo THEN 'ERROR' WHEN m THEN 'OBSERVADA' ELSE 'PROCESADA' END AS estado,
+  CASE WHEN motivo = '' AND m AND NOT malo THEN 'MANCHA_SOBRE_DATOS' ELSE motivo END AS motivo_estado
+FROM (
+  SELECT up.seq, up.acta_id, resultado, f.mancha_detectada OR (up.k % 4 <> 0 AND p.mancha_detectada) AS m,
+    f_mun = '' OR f_dep = '' OR f_mesa = '' OR f_c1 IS NULL OR (f_val > 0 AND f_suma <> f_val) AS malo,
+    CASE WHEN up.k % 37 = 0 THEN 'TEXTO_ANULADA' WHEN texto_anulada_visual THEN 'TEXTO_ANULADA_VISUAL'
+         WHEN lapiz_detectado THEN 'USO_DE_LAPIZ' WHEN tachadura_detectada THEN 'TACHADURA_NUMEROS'
+         WHEN rotura_detectada THEN 'ROTURA_CRITICA' WHEN NOT firmas_suficientes THEN 'FALTA_FIRMAS_HUELLAS'
+         WHEN f_hab > 0 AND f_total > f_hab THEN 'VOTOS_MAYOR_QUE_VOTANTES' ELSE '' END AS motivo
+  FROM up JOIN flg f ON f.k = up.k JOIN pre p ON p.k = up.k)""", _QUICK, _FILES, _IMAGES),
     "upload_events": _files("""
 SELECT seq, CAST(paso AS INTEGER) AS paso, acta_id, tipo_evento, llegada AS fecha FROM (
   SELECT seq, llegada, 1 AS paso, 'PENDIENTE' AS acta_id, 'ACTA_RECIBIDA' AS tipo_evento FROM up

@@ -7,8 +7,12 @@ many rows. A global sort on (sheet, time) splits such a sheet over several range
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from votecount import constants as K
 from votecount.operators.groups import stamp
 
+#: All states a stored sheet can have.
+_STATES = sorted((K.PROCESADA, K.ERROR, K.ANULADA, K.OBSERVADA))
+
 
 def replay(
     events: DataFrame, inconsistencies: DataFrame, sheets: DataFrame, acta_id: str | None = None
@@ -38,17 +42,19 @@ def replay(
 
 def replay_counts(events: DataFrame, inconsistencies: DataFrame, sheets: DataFrame) -> DataFrame:
     """Per sheet: number of events and inconsistencies, first and last event, current state."""
+    # A state goes in as its place among all states and comes out as its name: the largest of
+    # numbers is found by hash aggregation, the largest of texts would sort all rows.
+    place = F.array_position(F.array(*[F.lit(s) for s in _STATES]), F.col("estado"))
+    none = F.lit(None).cast("bigint").alias("estado")
     parts = (
-        events.select("acta_id", "fecha", F.lit(1).alias("e"), F.lit(0).alias("i"),
-                      F.lit(None).cast("string").alias("estado"))
+        events.select("acta_id", "fecha", F.lit(1).alias("e"), F.lit(0).alias("i"), none)
         .unionByName(
             inconsistencies.select("acta_id", F.lit(None).cast("timestamp").alias("fecha"),
-                                   F.lit(0).alias("e"), F.lit(1).alias("i"),
-                                   F.lit(None).cast("string").alias("estado"))
+                                   F.lit(0).alias("e"), F.lit(1).alias("i"), none)
         )
         .unionByName(
             sheets.select("acta_id", F.lit(None).cast("timestamp").alias("fecha"), F.lit(0).alias("e"),
-                          F.lit(0).alias("i"), "estado")
+                          F.lit(0).alias("i"), place.alias("estado"))
         )
     )
     return parts.groupBy("acta_id").agg(
@@ -56,7 +62,7 @@ def replay_counts(events: DataFrame, inconsistencies: DataFrame, sheets: DataFra
         F.sum("i").alias("total_inconsistencias"),
         F.min("fecha").alias("primer_evento"),
         F.max("fecha").alias("ultimo_evento"),
-        F.max("estado").alias("estado_actual"),
+        F.get(F.array(*[F.lit(s) for s in _STATES]), F.max("estado") - 1).alias("estado_actual"),
     )
 
 

@@ -12,7 +12,9 @@ from votecount.functions import ocr, scalars
 from votecount.functions import sheet_text as st
 from votecount.functions import sms as sms_fn
 from votecount.functions import visual as vis
+from votecount.catalog import register_folder
 from votecount.operators import events as ev
+from votecount.operators import images as img
 from votecount.operators import inconsistencies as inc
 from votecount.operators import lookups as lk
 from votecount.operators import machine as mach
@@ -883,6 +885,48 @@ def has_visual_flags(e):
         "acta_id", vis.has_visual_flags("v").alias("con_alertas"))
 
 
+# --- SQL over the registered views --------------------------------------------------
+
+
+def _sql(e, text: str) -> DataFrame:
+    register_folder(e.spark, e.folder)
+    return e.spark.sql(text)
+
+
+@query
+def sql_official_by_municipality(e):
+    return _sql(e, """
+        SELECT t.departamento AS Departamento, t.municipio AS Municipio,
+          coalesce(sum(m.votantes_habilitados), 0) AS VotantesHabilitados, coalesce(sum(p.votos_validos), 0) AS VotosValidos,
+          coalesce(sum(p.votos_blancos), 0) AS VotosBlancos, coalesce(sum(p.votos_nulos), 0) AS VotosNulos,
+          coalesce(sum(v.P1), 0) AS P1, coalesce(sum(v.P2), 0) AS P2, coalesce(sum(v.P3), 0) AS P3, coalesce(sum(v.P4), 0) AS P4
+        FROM distribucion_territorial t JOIN recinto_electoral r USING (codigo_territorial)
+          JOIN mesas m USING (codigo_recinto) JOIN papeleta p USING (codigo_acta)
+          LEFT JOIN (SELECT * FROM detalle_votos_partido
+                     PIVOT (sum(cantidad_votos) FOR id_partido IN (1 AS P1, 2 AS P2, 3 AS P3, 4 AS P4))) v USING (codigo_acta)
+        GROUP BY t.departamento, t.municipio""")
+
+
+@query
+def sql_top_precincts(e):
+    return _sql(e, "SELECT recinto, votos, candidato FROM top_precincts('P2', 7)")
+
+
+@query
+def sql_high_abstention(e):
+    return _sql(e, "SELECT * FROM high_abstention(15.0) WHERE departamento = 'La Paz'")
+
+
+@query
+def sql_votes_below(e):
+    return _sql(e, "SELECT * FROM votes_below('La Paz') UNION ALL SELECT * FROM votes_below('La Paz', 'BUILDING')")
+
+
+@query
+def sql_sheet_history(e):
+    return _sql(e, f"SELECT * FROM sheet_history('MESA-{CODE_BASE + 7}')")
+
+
 # --- events ----------------------------------------------------------------------
 
 
@@ -926,6 +970,13 @@ def upload_outcomes_in_store(e):
     return judged.select("seq", "acta_id", "resultado", F.col("previa.hash_origen").alias("hash_previo"))
 
 
+@query
+def upload_states_by_image(e):
+    """Files with the flags of their image: some are annulled or marked by it alone."""
+    judged = mach.upload_outcomes(img.with_images(e.parsed_files, e.file_flags), e.reference)
+    return judged.select("seq", "acta_id", "resultado", "estado", "motivo_estado")
+
+
 @query
 def upload_events(e):
     return ev.upload_events(_uploads(e)).drop("metadata")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from votecount import constants as K
 from votecount.functions.sheet_text import parse_sheet_text
+from votecount.functions.visual import merge_visual, preprocess_flags, visual_flags
 from votecount.operators.machine import SmsPolicy, sms_outcomes
 from votecount.operators.inconsistencies import detect_all, reference_from_wide
 from votecount.operators.validation import validate_sheets
@@ -480,6 +481,14 @@ class Election:
         """Images that the cleaning step has measured: the sheets of three in four tables."""
         return self.measurements.where("paso_limpieza")
 
+    @cached_property
+    def file_flags(self) -> DataFrame:
+        """Merged image flags per uploaded file, by the hash of its content."""
+        flags = merge_visual(visual_flags(self.measurements), preprocess_flags(self.cleaned, self.cells))
+        code = F.concat(F.lit("MESA-"), text(F.col("k") + CODE_BASE))
+        contents = self.files.select(F.sha2("text", 256).alias("hash_origen"), code.alias("acta_id")).distinct()
+        return contents.join(flags, "acta_id").drop("acta_id")
+
     # --- events -------------------------------------------------------------------------
 
     @cached_property
