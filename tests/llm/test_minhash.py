@@ -62,7 +62,7 @@ def test_ids_that_repeat_or_lack(spark):
     kept = m.keep_one(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
-        [(0, ""), (0, "alone again here now then"), (5, text), (5, text), (9, other)]
+        [(0, ""), (0, "alone again here now then"), (5, text), (9, other)]
     )
     assert m.groups(df.where("doc_id = 99")).count() == 0
 
@@ -76,9 +76,10 @@ def test_estimate_is_corrected_for_chance(spark):
         rest = lambda: rnd.integers(1, 2**63, n - len(common), dtype=np.uint64)
         a, b = (np.concatenate([common, rest()]) * np.uint64(2) for _ in range(2))
         rows.append((share, *(m.packed(s.minima(x, m.HASHES)).tolist() for x in (a, b))))
-    df = spark.createDataFrame(rows, "share double, a array<long>, b array<long>")
-    for r in df.withColumn("e", m.estimate(df.a, df.b)).collect():
-        assert abs(r.e - r.share) < 0.15
+    for share, a, b in rows:
+        e = m.estimates(np.array([a, b]))
+        assert abs(e[0, 1] - share) < 0.15 and e[0, 0] == e[1, 1] == 1
+        assert share == 0.4 or m.hopeful([a, b], 85)[0, 1] == (share > 0.5)
 
 
 def test_tuning_reaches_the_recall():
@@ -138,3 +139,37 @@ def test_near_copies_that_meet_through_an_unlike_hub(spark, monkeypatch):
     assert 0.25 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.35
     got = {r.doc_id: r.component_id for r in m.groups(docs(spark, texts)).collect()}
     assert got == dict(enumerate(roots)) and len(set(roots)) == 21
+
+
+def test_rows_without_ids_are_grouped(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = docs(spark, [(None, text), (None, text), (None, text + " x"), (None, "something else that is alone here"), (3, None), (None, "")])
+    kept = [r.text for r in m.keep_one(df).collect()]
+    assert len(kept) == 4 and sum((t or "").startswith("w0") for t in kept) == 1
+    assert {r.component_id for r in m.groups(df).collect()} == {None, 3}
+
+
+def test_many_repeated_rows_are_one(spark):
+    """Fifty thousand equal rows and a near copy: exact links see two sets."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.range(50000).selectExpr("7L AS doc_id", f"'{text}' AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    near = docs(spark, [(3, text + " x"), (9, "quite another text of some words")])
+    df = rows.unionByName(near)
+    kept = m.keep_one(df)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 9]
+    found = m.groups(df)
+    assert {(r.doc_id, r.component_id) for r in found.distinct().collect()} == {(7, 3), (3, 3), (9, 9)}
+
+
+def test_pairs_ruled_out_by_their_estimate_are_not_compared(monkeypatch):
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.integers(1, 2**62, 300, dtype=np.uint64)) for _ in range(40)]
+    sets += [np.sort(np.concatenate([x[8:], rnd.integers(1, 2**62, 8, dtype=np.uint64)])) for x in sets]
+    bits = [m.packed(s.minima(x, m.HASHES)).tolist() for x in sets]
+    compared = []
+    plain = s.common_counts
+    monkeypatch.setattr(s, "common_counts", lambda items: (compared.append(len(items)), plain(items))[1])
+    ids = np.arange(80)
+    with_estimate = s.forest(ids, sets, 85, m.hopeful(bits, 85))
+    assert compared == [2] * 40
+    assert with_estimate == s.forest(ids, sets, 85) == (list(range(40, 80)), list(range(40)))

@@ -4,14 +4,17 @@ A document is the set of its distinct five-word shingles. Equal sets are one cla
 once. Of every class the minima of 192 hash functions are banded (tuned so that a pair at the
 threshold is missed once in a million). Candidates come from the bands as stars, all of which count:
 a star's centre may be unlike two members that are near copies of each other. What is linked is
-decided on the full sets (``setlinks.exact_links``); components of the links are the groups.
-``packed`` and ``estimate`` (similarity from two bits of each minimum) judge a pair by itself only.
+decided inside the clusters that the stars make up: every pair of a block is estimated from two low
+bits of each minimum, packed into six longs and compared by bit counts with the collisions of chance
+taken off; pairs that are not hopeless are compared on the full sets (``setlinks.exact_links``).
+Components of the links are the groups.
 
 Edge cases: a text with fewer than five words is one shingle, its whole sequence; a null text or one
 without words has an empty set and is linked with nothing; equal texts are one group, named by their
-smallest id; rows that repeat an id are the same document and all stay if it stays; a row without an
-id joins its group but cannot name or extend it, and stays if there is no row with an id;
-very long texts are hashed in parts; an empty table gives an empty result.
+smallest id. Rows are numbered inside, so that rows that repeat an id, or have none, are rows like
+others: each is in its group, ``groups`` marks all rows that bear the group's name, and ``keep_one``
+leaves one row of each group (all rows without words). A group in which no row has an id has no name.
+Very long texts are hashed in parts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ SHINGLE = 5
 PCT = 85
 HASHES, RECALL = 192, 0.999999
 BITS = 2
+#: How far an estimate may lie below the threshold before the pair is passed over.
+SLACK = 0.35
 _SIGNED = np.int64
 
 
@@ -44,23 +49,30 @@ def packed(lows: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint64) * np.uint64(bits)), axis=1).view(_SIGNED)
 
 
-def estimate(a, b):
-    """Similarity from two packed signatures (array<bigint> columns) by bit counts."""
-    lanes = F.lit(0x5555555555555555)
-    differs = F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)),
-        F.lit(0),
-        lambda n, x: n + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(lanes)),
-    )
-    agree = 1 - differs / HASHES
+def estimates(bits: np.ndarray) -> np.ndarray:
+    """Similarity of every two packed signatures (rows of longs) by bit counts, corrected for chance.
+
+    Two bits of a minimum agree if neither differs; unlike minima agree by chance once in four.
+    """
+    lanes = np.uint64(0x5555555555555555)
+    low = bits.view(np.uint64)
+    differs = np.zeros((len(low), len(low)), np.int64)
+    for lane in low.T:
+        x = lane[:, None] ^ lane[None, :]
+        differs += np.bitwise_count((x | (x >> np.uint64(1))) & lanes)
     chance = 2.0**-BITS
-    return (agree - chance) / (1 - chance)
+    return (1 - differs / HASHES - chance) / (1 - chance)
 
 
-_ROW = "id bigint, t bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
+def hopeful(bits: list, pct: int) -> np.ndarray:
+    """Which pairs are worth an exact comparison: a pair at the threshold falls short of this bound by
+    some ten standard errors of its estimate (0.03), and each pair is judged by itself alone."""
+    return estimates(np.array(bits, _SIGNED)) >= pct / 100 - SLACK
 
 
 def _signatures(bands: int, rows: int):
+    """What is kept of each document, its text among it, with the size, name, bands and packed bits of its set."""
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices_by_bytes(whole, "text"):
@@ -69,14 +81,14 @@ def _signatures(bands: int, rows: int):
                 lows = [minima(s, HASHES) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id"),
-                        batch.column("t"),
+                        *batch.columns,
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
                         pa.array([None if x is None else band_keys(x, bands, rows) for x in lows], pa.list_(pa.int64())),
+                        pa.array([None if x is None else packed(x) for x in lows], pa.list_(pa.int64())),
                     ],
-                    ["id", "t", "n", "k1", "k2", "bands"],
+                    [*batch.schema.names, "n", "k1", "k2", "bands", "bits"],
                 )
 
     return signed
@@ -87,58 +99,69 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(whole, "text"):
             sets = shingle_sets(words_of(batch.column("text"), BETWEEN_SPACES), SHINGLE)
             items = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cluster"), batch.column("blocks"), batch.column("id"), items],
-                ["cluster", "blocks", "id", "items"],
-            )
+            kept = ["cluster", "blocks", "id", "bits"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], items], [*kept, "items"])
 
 
-def _grouped(docs: DataFrame, key: str, text: str, pct: int) -> DataFrame:
-    """Per document: id, t (the hash of its text), n, component, kept."""
+def _grouped(docs: DataFrame, key: str, text: str, pct: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (p, their number; rest, their columns but the text; text) and, per p: id, n, component, name."""
     folder = shared_folder(docs.sparkSession)
     bands, rows = tune(pct / 100, RECALL, HASHES)
-    plain = docs.select(
-        F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text")
-    )
-    signed = saved(plain.mapInArrow(_signatures(bands, rows), _ROW), f"{folder}/signed")
+    named = lambda c: F.col(f"`{c}`")
+    rest = F.struct(named(key).alias("c0"), *[named(c).alias(f"c{i}") for i, c in enumerate(_rest(docs, key, text), 1)])
+    plain = docs.select(named(key).cast("bigint").alias("id"), named(text).alias("text"), rest.alias("rest"))
+    layout = f"id bigint, text string, rest {plain.schema['rest'].dataType.simpleString()}, n bigint, k1 bigint, k2 bigint, bands array<bigint>, bits array<bigint>"
+    # The number of a row is drawn once, when the table is written; ids may be missing or repeated.
+    signed = plain.mapInArrow(_signatures(bands, rows), layout).withColumn("p", F.monotonically_increasing_id())
+    signed = saved(signed, f"{folder}/signed")
     classes = saved(
         signed.where("n > 0")
         .groupBy("k1", "k2", "n")
-        .agg(F.min("id").alias("id"), F.first("bands").alias("bands")),
+        .agg(F.min("p").alias("id"), F.min("id").alias("least"), F.first("bands").alias("bands")),
         f"{folder}/classes",
     )
-    named = classes.where("id is not null")
-    pairs = stars(named.select("id", F.explode("bands").alias("band")))
+    pairs = stars(classes.select("id", F.explode("bands").alias("band")))
     # No spoke is dropped by an estimate: two near copies may meet only through a third, unlike document.
     coarse = components(pairs.select(F.col("rep").alias("a"), F.col("id").alias("b")), f"{folder}/coarse")
     members = coarse.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    # Two texts under one id are one node with both sets.
-    sizes = named.groupBy("id").agg(F.sum("n").alias("n"))
-    members = saved(with_blocks(members.join(sizes, "id")), f"{folder}/members")
-    texts = plain.join(members, "id").select("cluster", "blocks", "id", "text")
-    sets = texts.mapInArrow(_sets, "cluster bigint, blocks int, id bigint, items binary")
-    links = saved(exact_links(sets, pct), f"{folder}/links")
+    members = saved(with_blocks(members.join(classes.select("id", "n"), "id")), f"{folder}/members")
+    # One row per class, however many copies it has.
+    texts = signed.select(F.col("p").alias("id"), "bits", "text").join(members, "id").select("cluster", "blocks", "id", "bits", "text")
+    sets = texts.mapInArrow(_sets, "cluster bigint, blocks int, id bigint, bits array<bigint>, items binary")
+    links = saved(exact_links(sets, pct, hopeful), f"{folder}/links")
     found = components(links, f"{folder}/groups").withColumnRenamed("node", "id")
-    names = classes.select("k1", "k2", "n", "id").join(found, "id", "left")
-    names = names.select("k1", "k2", "n", F.coalesce("component", "id").alias("name"))
-    answer = signed.select("id", "t", "n", "k1", "k2").join(names, ["k1", "k2", "n"], "left")
-    component = F.coalesce("name", "id")
-    return answer.select("id", "t", "n", component.alias("component"), F.col("id").eqNullSafe(component).alias("kept"))
+    placed = classes.select("k1", "k2", "n", "id", "least").join(found, "id", "left")
+    placed = saved(placed.withColumn("component", F.coalesce("component", "id")), f"{folder}/placed")
+    names = placed.groupBy("component").agg(F.min("least").alias("name"))
+    placed = placed.join(names, "component").select("k1", "k2", "n", "component", "name")
+    answer = signed.select("p", "id", "n", "k1", "k2").join(placed, ["k1", "k2", "n"], "left")
+    # Rows with an empty set are alone.
+    name = F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id"))
+    return signed.select("p", "rest", "text"), answer.select("p", "id", "n", "component", name.alias("name"))
+
+
+def _rest(docs: DataFrame, key: str, text: str) -> list[str]:
+    return [c for c in docs.columns if c not in (key, text)]
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", pct: int = PCT) -> DataFrame:
     """Per document: key, n_shingles, component_id (the smallest id of its group), kept."""
-    return _grouped(docs, key, text, pct).select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept"
+    _, found = _grouped(docs.select(f"`{key}`", f"`{text}`"), key, text, pct)
+    return found.select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("name")).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", pct: int = PCT) -> DataFrame:
-    """The documents that name their group, in their own columns."""
-    dropped = _grouped(docs, key, text, pct).where("not kept")
-    dropped = dropped.select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct()
-    same = docs[key].eqNullSafe(dropped["__id"]) & (F.xxhash64(docs[text]) == dropped["__t"])
-    return docs.join(dropped, same, "left_anti")
+    """One document of each group, in its own columns: of those with the smallest id the first row."""
+    rows, found = _grouped(docs, key, text, pct)
+    sets = found.where("n > 0")
+    stay = sets.where(F.col("id").eqNullSafe(F.col("name"))).groupBy("component").agg(F.min("p").alias("p"))
+    dropped = sets.select("p").join(stay.select("p"), "p", "left_anti")
+    left = rows.join(dropped, "p", "left_anti")
+    places = {key: "c0", **{c: f"c{i}" for i, c in enumerate(_rest(docs, key, text), 1)}}
+    return left.select(*[(F.col("text") if c == text else F.col(f"rest.{places[c]}")).alias(c) for c in docs.columns])
 
 
 SQL = r"""

@@ -11,6 +11,7 @@ forest of its links, so that what leaves it is at most one row per member.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -75,11 +76,13 @@ def with_blocks(members: DataFrame) -> DataFrame:
     return members.withColumn("key", fresh_long(F.col("cluster"))).join(sizes, "key").select("id", "cluster", "blocks")
 
 
-def exact_links(sets: DataFrame, pct: int) -> DataFrame:
+def exact_links(sets: DataFrame, pct: int, hopeful: Callable[[list, int], np.ndarray] | None = None) -> DataFrame:
     """Links (a, b) of rows (cluster, blocks, id, items): 100 * common >= pct * union, as a forest.
 
-    ``items`` holds a set's shingles as 64-bit numbers, sorted, little-endian.
+    ``items`` holds a set's shingles as 64-bit numbers, sorted, little-endian. ``hopeful`` tells from
+    a further column ``bits`` which pairs of a group need the comparison of their sets.
     """
+    more = ["bits"] if hopeful else []
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     # Of several blocks every pair of two is a group, which takes in the pairs inside both.
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
@@ -87,13 +90,13 @@ def exact_links(sets: DataFrame, pct: int) -> DataFrame:
     )
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(other))
     dealt = dealt.select(
-        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "items"
+        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "items", *more
     )
 
     def linked(group: pa.Table) -> pa.Table:
         ids = np.array(group.column("id").to_pylist(), np.int64)
         items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
-        a, b = forest(ids, items, pct)
+        a, b = forest(ids, items, pct, hopeful(group.column("bits").to_pylist(), pct) if hopeful else None)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("cluster", "i", "j").applyInArrow(linked, "a bigint, b bigint")
@@ -120,22 +123,43 @@ def common_counts(items: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def forest(ids: np.ndarray, items: list[np.ndarray], pct: int) -> tuple[list[int], list[int]]:
+def forest(
+    ids: np.ndarray, items: list[np.ndarray], pct: int, hopeful: np.ndarray | None = None
+) -> tuple[list[int], list[int]]:
     """Each member that is linked with the smallest one it can reach within the group."""
     if len(ids) < 2:
         return [], []
     order = np.argsort(ids, kind="stable")
     ids, items = ids[order], [items[i] for i in order]
-    common, size = common_counts(items), np.array([len(x) for x in items], float)
-    linked = 100 * common >= pct * (size[:, None] + size[None, :] - common)
+    size = np.array([len(x) for x in items], float)
+    linked = np.zeros((len(ids), len(ids)), bool)
+    # Members without a hopeful pair between them, by however many steps, are never compared.
+    parts = [np.arange(len(ids))]
+    if hopeful is not None:
+        hopeful = hopeful[np.ix_(order, order)]
+        root = reached(hopeful)
+        parts = [np.flatnonzero(root == r) for r in np.unique(root)]
+    for part in parts:
+        if len(part) > 1:
+            common = common_counts([items[i] for i in part])
+            own = size[part]
+            linked[np.ix_(part, part)] = 100 * common >= pct * (own[:, None] + own[None, :] - common)
+    if hopeful is not None:
+        linked &= hopeful
     linked &= (size > 0)[:, None] & (size > 0)[None, :]
-    root = np.full(len(ids), -1)
-    for i in range(len(ids)):
+    root = reached(linked)
+    moved = np.flatnonzero(ids != ids[root])
+    return ids[moved].tolist(), ids[root[moved]].tolist()
+
+
+def reached(linked: np.ndarray) -> np.ndarray:
+    """The first member that each can be reached from, through a symmetric matrix."""
+    root = np.full(len(linked), -1)
+    for i in range(len(linked)):
         if root[i] < 0:
             front = np.array([i])
             root[i] = i
             while front.size:
                 front = np.flatnonzero(linked[front].any(axis=0) & (root < 0))
                 root[front] = i
-    moved = np.flatnonzero(ids != ids[root])
-    return ids[moved].tolist(), ids[root[moved]].tolist()
+    return root
