@@ -46,9 +46,9 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, path: str) -> DataFrame:
-    """The rows of ``df`` written once as a table and read back."""
-    df.write.parquet(path)
+def saved(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
+    """The rows of ``df`` written once as a table and read back; whole texts are worth a tighter ``compression``."""
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

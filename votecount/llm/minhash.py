@@ -113,7 +113,7 @@ def _grouped(docs: DataFrame, key: str, text: str, pct: int) -> tuple[DataFrame,
     layout = f"id bigint, text string, rest {plain.schema['rest'].dataType.simpleString()}, n bigint, k1 bigint, k2 bigint, bands array<bigint>, bits array<bigint>"
     # The number of a row is drawn once, when the table is written; ids may be missing or repeated.
     signed = plain.mapInArrow(_signatures(bands, rows), layout).withColumn("p", F.monotonically_increasing_id())
-    signed = saved(signed, f"{folder}/signed")
+    signed = saved(signed, f"{folder}/signed", "zstd")
     classes = saved(
         signed.where("n > 0")
         .groupBy("k1", "k2", "n")
