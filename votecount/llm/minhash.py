@@ -70,8 +70,11 @@ def hopeful(bits: list, pct: int) -> np.ndarray:
     return estimates(np.array(bits, _SIGNED)) >= pct / 100 - SLACK
 
 
+_ROW = "p bigint, id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, bits array<bigint>"
+
+
 def _signatures(bands: int, rows: int):
-    """What is kept of each document, its text among it, with the size, name, bands and packed bits of its set."""
+    """Of each document the size, name, bands and packed bits of its set."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -81,14 +84,15 @@ def _signatures(bands: int, rows: int):
                 lows = [minima(s, HASHES) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *batch.columns,
+                        batch.column("p"),
+                        batch.column("id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
                         pa.array([None if x is None else band_keys(x, bands, rows) for x in lows], pa.list_(pa.int64())),
                         pa.array([None if x is None else packed(x) for x in lows], pa.list_(pa.int64())),
                     ],
-                    [*batch.schema.names, "n", "k1", "k2", "bands", "bits"],
+                    ["p", "id", "n", "k1", "k2", "bands", "bits"],
                 )
 
     return signed
@@ -110,10 +114,10 @@ def _grouped(docs: DataFrame, key: str, text: str, pct: int) -> tuple[DataFrame,
     named = lambda c: F.col(f"`{c}`")
     rest = F.struct(named(key).alias("c0"), *[named(c).alias(f"c{i}") for i, c in enumerate(_rest(docs, key, text), 1)])
     plain = docs.select(named(key).cast("bigint").alias("id"), named(text).alias("text"), rest.alias("rest"))
-    layout = f"id bigint, text string, rest {plain.schema['rest'].dataType.simpleString()}, n bigint, k1 bigint, k2 bigint, bands array<bigint>, bits array<bigint>"
     # The number of a row is drawn once, when the table is written; ids may be missing or repeated.
-    signed = plain.mapInArrow(_signatures(bands, rows), layout).withColumn("p", F.monotonically_increasing_id())
-    signed = saved(signed, f"{folder}/signed", "zstd")
+    # Texts do not go through Python on their way there, which keeps the memory of its workers low.
+    numbered = saved(plain.withColumn("p", F.monotonically_increasing_id()), f"{folder}/numbered", "zstd")
+    signed = saved(numbered.select("p", "id", "text").mapInArrow(_signatures(bands, rows), _ROW), f"{folder}/signed")
     classes = saved(
         signed.where("n > 0")
         .groupBy("k1", "k2", "n")
@@ -126,7 +130,8 @@ def _grouped(docs: DataFrame, key: str, text: str, pct: int) -> tuple[DataFrame,
     members = coarse.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     members = saved(with_blocks(members.join(classes.select("id", "n"), "id")), f"{folder}/members")
     # One row per class, however many copies it has.
-    texts = signed.select(F.col("p").alias("id"), "bits", "text").join(members, "id").select("cluster", "blocks", "id", "bits", "text")
+    members = members.join(signed.select(F.col("p").alias("id"), "bits"), "id")
+    texts = numbered.select(F.col("p").alias("id"), "text").join(members, "id").select("cluster", "blocks", "id", "bits", "text")
     sets = texts.mapInArrow(_sets, "cluster bigint, blocks int, id bigint, bits array<bigint>, items binary")
     links = saved(exact_links(sets, pct, hopeful), f"{folder}/links")
     found = components(links, f"{folder}/groups").withColumnRenamed("node", "id")
@@ -137,7 +142,7 @@ def _grouped(docs: DataFrame, key: str, text: str, pct: int) -> tuple[DataFrame,
     answer = signed.select("p", "id", "n", "k1", "k2").join(placed, ["k1", "k2", "n"], "left")
     # Rows with an empty set are alone.
     name = F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id"))
-    return signed.select("p", "rest", "text"), answer.select("p", "id", "n", "component", name.alias("name"))
+    return numbered.select("p", "rest", "text"), answer.select("p", "id", "n", "component", name.alias("name"))
 
 
 def _rest(docs: DataFrame, key: str, text: str) -> list[str]:
