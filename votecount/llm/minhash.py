@@ -116,7 +116,7 @@ def _grouped(docs: DataFrame, key: str, text: str, pct: int) -> tuple[DataFrame,
     plain = docs.select(named(key).cast("bigint").alias("id"), named(text).alias("text"), rest.alias("rest"))
     # The number of a row is drawn once, when the table is written; ids may be missing or repeated.
     # Texts do not go through Python on their way there, which keeps the memory of its workers low.
-    numbered = saved(plain.withColumn("p", F.monotonically_increasing_id()), f"{folder}/numbered", "zstd")
+    numbered = saved(plain.withColumn("p", F.monotonically_increasing_id()), f"{folder}/numbered", "gzip")
     signed = saved(numbered.select("p", "id", "text").mapInArrow(_signatures(bands, rows), _ROW), f"{folder}/signed")
     classes = saved(
         signed.where("n > 0")
