@@ -1,11 +1,13 @@
 """Runs of words that repeat across documents, wherever their lines begin and end.
 
 A window is ``RUN`` words in a row. Of its grams of ``GRAM`` words the smallest hash is its anchor,
-which depends on the window alone, so equal windows have equal anchors. Only windows of an anchor
-that is met at two places or more are written out; those are compared by 128-bit hashes of all their
-words, and every one that has an equal one before it is a repeat. All words that a repeat covers are
-gone, which is the full span of every shared run of ``RUN`` words or more, however long. Nothing is
-drawn by chance and nothing missed.
+which depends on the window alone, so equal windows have equal anchors. Only anchors that are met at
+two places or more are looked at: all windows around one place of an anchor are one row, a run of at
+most ``RUN - GRAM + 1`` windows. Within a passage such runs are equal as a whole and settle in one row;
+only where an anchor has several different runs, which is at the ends of passages, their distinct ones
+are opened into single windows. Every window that has an equal one before it is a repeat, and all words
+that a repeat covers are gone, which is the full span of every shared run of ``RUN`` words or more,
+however long. Nothing is drawn by chance and nothing missed.
 
 A window that is one phrase of at most half its words said over and over is no repeat of itself
 further on in the same document (a stock line in a column stays); in a later document it is one.
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from votecount.llm.common import fresh_long, saved
@@ -28,7 +30,7 @@ RUN = 50
 GRAM = 15
 #: Grams of a window.
 _WIDTH = RUN - GRAM + 1
-_FIRST, _SECOND = constants(RUN, 15), constants(RUN, 16)
+_WORD = constants(RUN, 15)
 
 
 def anchors(grams: np.ndarray) -> np.ndarray:
@@ -40,6 +42,16 @@ def anchors(grams: np.ndarray) -> np.ndarray:
     return np.minimum(low[:-more], low[more:]) if more else low
 
 
+def first_lowest(grams: np.ndarray) -> np.ndarray:
+    """Where the smallest of every ``_WIDTH`` grams in a row stands, the first of equal ones."""
+    at, width = np.arange(len(grams)), 1
+    while width < _WIDTH:
+        step = min(width, _WIDTH - width)
+        a, b = at[:-step], at[step:]
+        at, width = np.where(grams[b] < grams[a], b, a), width + step
+    return at
+
+
 def phrase_over(hashes: np.ndarray) -> np.ndarray:
     """For each window whether it is some phrase of at most ``RUN // 2`` words over and over."""
     found = np.zeros(len(hashes) - RUN + 1, bool)
@@ -98,33 +110,69 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of a text that have one of the anchors asked for."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per place of an anchor asked for: its first window, the hash of each of its windows, and
+    which of these (from 0) are one phrase over and over."""
     for whole in batches:
         for batch in slices_by_bytes(whole, "text"):
             asked = batch.column("wanted")
             for i, hashes in _left(batch):
                 wanted = np.array(asked[i].as_py(), np.int64).view(np.uint64)
-                at = np.flatnonzero(np.isin(anchors(window_hashes(hashes, GRAM)), wanted))
-                over = phrase_over(hashes)[at]
-                k1, k2 = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+                grams = window_hashes(hashes, GRAM)
+                lowest = first_lowest(grams)
+                at = np.flatnonzero(np.isin(grams[lowest], wanted))
+                if not len(at):
+                    continue
+                begin = np.flatnonzero(np.diff(lowest[at], prepend=-1))
+                keys = np.zeros(len(at), np.uint64)
                 for k in range(RUN):
-                    word = hashes[at + k]
-                    k1 += word * _FIRST[k]
-                    k2 += word * _SECOND[k]
-                of = pa.array(np.full(len(at), i))
+                    keys += hashes[at + k] * _WORD[k]
+                over = np.flatnonzero(phrase_over(hashes)[at])
+                of = np.searchsorted(begin, over, "right") - 1
+                row = pa.array(np.full(len(begin), i))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(mix(k1).view(np.int64)),
-                        pa.array(mix(k2).view(np.int64)),
-                        *[batch.column(c).take(of) for c in ("id", "d1", "d2")],
-                        pa.array(at.astype(np.int32)),
-                        pa.array(over),
+                        pa.array(grams[lowest[at[begin]]].view(np.int64)),
+                        *[batch.column(c).take(row) for c in ("id", "d1", "d2")],
+                        pa.array(at[begin].astype(np.int32)),
+                        pa.ListArray.from_arrays(np.append(begin, len(at)).astype(np.int32), mix(keys).view(np.int64)),
+                        pa.ListArray.from_arrays(
+                            np.searchsorted(of, np.arange(len(begin) + 1)).astype(np.int32),
+                            (over - begin[of]).astype(np.int32),
+                        ),
                     ],
-                    ["k1", "k2", "id", "d1", "d2", "pos", "over"],
+                    ["anchor", "id", "d1", "d2", "pos", "windows", "over"],
                 )
 
 
+def _spans(runs: DataFrame, folder: str) -> DataFrame:
+    """(anchor, span, n, head, last, met): every distinct run, where it is first and last, and for those of
+    its windows (from 0) that are met before ``head`` in another run, where."""
+    spans = runs.groupBy("anchor", "span", "n").agg(
+        F.min("place").alias("head"), F.max("place").alias("last"), F.first("windows").alias("windows")
+    )
+    spans = saved(spans, f"{folder}/spans")
+    # Windows of different runs can be equal only if their runs have one anchor.
+    several = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1")
+    several = several.select(fresh_long(F.col("anchor")).alias("key"))
+    windows = spans.withColumn("key", fresh_long(F.col("anchor"))).join(several, "key")
+    windows = windows.select("anchor", "span", "n", "head", F.posexplode("windows").alias("nth", "window"))
+    windows = windows.withColumn("place", _moved("head", F.col("nth"))).drop("head")
+    windows = saved(windows, f"{folder}/windows")
+    firsts = windows.groupBy("anchor", "window").agg(F.min("place").alias("first"), F.max("place").alias("end"))
+    firsts = firsts.where("first < end")
+    firsts = firsts.select(fresh_long(F.col("window")).alias("key"), F.col("anchor").alias("also"), "first")
+    met = windows.withColumn("key", fresh_long(F.col("window"))).join(firsts, "key")
+    met = met.where("anchor = also and place <> first")
+    met = met.groupBy("anchor", "span", "n").agg(F.map_from_entries(F.collect_list(F.struct("nth", "first"))).alias("met"))
+    return spans.drop("windows").join(met, ["anchor", "span", "n"], "left")
+
+
+def _moved(place: str, by: Column) -> Column:
+    """A place further on in the same document."""
+    return F.col(place).withField("pos", F.col(place)["pos"] + by)
+
+
 def repeats(plain: DataFrame, gone: DataFrame, folder: str) -> DataFrame:
     """(d1, d2, starts, kept_in): the repeated windows by their first word among those that are left.
 
@@ -144,15 +192,46 @@ def repeats(plain: DataFrame, gone: DataFrame, folder: str) -> DataFrame:
         wanted.groupBy("d1", "d2").agg(F.collect_set("anchor").alias("wanted")), f"{folder}/wanted"
     )
     texts = left.join(wanted, ["d1", "d2"]).select("id", "d1", "d2", "text", "lines", "wanted")
-    windows = texts.mapInArrow(_windows, "k1 bigint, k2 bigint, id bigint, d1 bigint, d2 bigint, pos int, over boolean")
+    runs = texts.mapInArrow(
+        _runs, "anchor bigint, id bigint, d1 bigint, d2 bigint, pos int, windows array<bigint>, over array<int>"
+    )
     place = F.struct(F.col("id").isNull().alias("no"), F.coalesce("id", F.lit(0)).alias("at"), "d1", "d2", "pos")
-    windows = saved(windows, f"{folder}/windows").withColumn("place", place)
-    heads = windows.groupBy("k1", "k2").agg(F.min("place").alias("head"), F.max("place").alias("last"))
-    heads = heads.where("head < last").select(fresh_long(F.col("k1")).alias("key"), F.col("k2").alias("also"), "head")
-    later = windows.withColumn("key", fresh_long(F.col("k1"))).join(heads, "key").where("k2 = also and place <> head")
-    later = later.where("not over or d1 <> head.d1 or d2 <> head.d2")
-    kept = F.when(~F.col("head.no"), F.col("head.at"))
-    return later.groupBy("d1", "d2").agg(F.collect_set("pos").alias("starts"), F.collect_set(kept).alias("kept_in"))
+    runs = runs.select(
+        "anchor", F.xxhash64("windows").alias("span"), F.size("windows").alias("n"), place.alias("place"), "over", "windows"
+    )
+    runs = saved(runs, f"{folder}/runs")
+    spans = _spans(runs, folder).where("head < last or met is not null")
+    spans = spans.select(fresh_long(F.col("span")).alias("key"), F.col("anchor").alias("also"), F.col("n").alias("m"), "head", "met")
+    known = runs.drop("windows").withColumn("key", fresh_long(F.col("span"))).join(spans, "key").where("anchor = also and n = m")
+    first = F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda k: F.struct(
+            k.alias("nth"),
+            _moved("place", k).alias("own"),
+            F.coalesce(F.try_element_at("met", k), _moved("head", k)).alias("first"),
+        ),
+    )
+    elsewhere = lambda w: (w["own"]["d1"] != w["first"]["d1"]) | (w["own"]["d2"] != w["first"]["d2"])
+    later = F.filter(
+        first, lambda w: (w["own"] != w["first"]) & (~F.array_contains("over", w["nth"]) | elsewhere(w))
+    )
+    known = known.select(F.col("place.d1").alias("d1"), F.col("place.d2").alias("d2"), later.alias("later"))
+    known = known.where(F.size("later") > 0).select(
+        "d1", "d2",
+        F.struct(
+            F.transform("later", lambda w: w["own"]["pos"]).alias("starts"),
+            F.array_distinct(
+                F.transform(F.filter("later", lambda w: ~w["first"]["no"]), lambda w: w["first"]["at"])
+            ).alias("ids"),
+        ).alias("part"),
+    )
+    # Rows that repeat bring equal parts, so a group is bounded by the words of its text.
+    parts = known.groupBy("d1", "d2").agg(F.collect_set("part").alias("parts"))
+    return parts.select(
+        "d1", "d2",
+        F.array_distinct(F.flatten("parts.starts")).alias("starts"),
+        F.array_distinct(F.flatten("parts.ids")).alias("kept_in"),
+    )
 
 
 CUT = "text string, removed array<int>, cut array<int>"
