@@ -939,4 +939,30 @@ SELECT departamento, codigo_acta, centesimas, z FROM (
         FROM (SELECT departamento, count(*) AS n, CAST(sum(c) AS BIGINT) AS s, CAST(sum(CAST(c * c AS DECIMAL(38, 0))) AS DOUBLE) AS q
               FROM (SELECT departamento, papeletas_anfora * 10000 // votantes_habilitados AS c FROM tr WHERE votantes_habilitados > 0) GROUP BY 1)) st
   USING (departamento)) WHERE abs(z) > 2.0"""),
+    # indicators
+    "state_as_of": _events("""
+SELECT acta_id, momento, tipo_evento AS ultimo_evento, fecha, n AS eventos FROM (
+  SELECT evt.*, momento, row_number() OVER (PARTITION BY acta_id, momento ORDER BY fecha DESC, event_id DESC) AS rn,
+         count(*) OVER (PARTITION BY acta_id, momento) AS n
+  FROM evt JOIN (VALUES (TIMESTAMP '1996-01-01 00:00:00'), (TIMESTAMP '1998-06-30 12:00:00'), (TIMESTAMP '2002-01-01 00:00:00')) v(momento)
+    ON fecha <= momento) WHERE rn = 1"""),
+    "turnout_outliers_robust": _base("""
+SELECT * FROM (
+  SELECT departamento, codigo_acta, centesimas, mediana, mad, CASE WHEN mad > 0 THEN round(0.6745::DOUBLE * (centesimas - mediana) / mad, 4) END AS puntaje
+  FROM (SELECT departamento, codigo_acta, papeletas_anfora * 10000 // votantes_habilitados AS centesimas FROM tr WHERE votantes_habilitados > 0) b
+  JOIN (SELECT departamento, any_value(m) AS mediana, quantile_cont(abs(c - m), 0.5) AS mad FROM (
+          SELECT departamento, c, median(c) OVER (PARTITION BY departamento) AS m
+          FROM (SELECT departamento, papeletas_anfora * 10000 // votantes_habilitados AS c FROM tr WHERE votantes_habilitados > 0))
+        GROUP BY 1) st USING (departamento)) WHERE abs(puntaje) > 2.0"""),
+    "digit_test": _base("""
+SELECT codigo_recinto, cifras, chi2, chi2 > 21.666 AS sospechoso FROM (
+  SELECT codigo_recinto, CAST(sum(o) AS BIGINT) AS cifras, round(CAST(10 * sum(o * o) - sum(o) * sum(o) AS DOUBLE) / sum(o), 6) AS chi2
+  FROM (SELECT codigo_recinto, v % 10 AS d, count(*) AS o
+        FROM (SELECT codigo_recinto, unnest([P1, P2, P3, P4]) AS v FROM tr) WHERE v >= 10 GROUP BY 1, 2) GROUP BY 1)
+WHERE cifras >= 10"""),
+    "latency_by_hour": _quick("""
+SELECT date_trunc('hour', fecha_recepcion) AS inicio, count(*) AS actas, quantile_cont(s, 0.5) AS p50, quantile_cont(s, 0.95) AS p95
+FROM (SELECT fecha_recepcion, k * 37 % 86400 - 57600 AS s FROM sh) WHERE s >= 0 GROUP BY 1"""),
+    "active_places_by_hour": _quick("""
+SELECT date_trunc('hour', fecha_recepcion) AS inicio, count(DISTINCT codigo_recinto) AS recintos FROM sh GROUP BY 1"""),
 }

@@ -61,25 +61,26 @@ def annulled_share(sheets: DataFrame, official: DataFrame) -> DataFrame:
     )
 
 
+def delays(sheets: DataFrame, t: DataFrame) -> DataFrame:
+    """Seconds between closing and reception of every sheet (``segundos``, below 0 if received before)."""
+    hours = t.select("codigo_acta", F.col("cierre_hora").try_cast("int").alias("_h"))
+    coded = sheets.select("departamento", "fecha_recepcion", numeric_code(F.col("acta_id")).alias("codigo_acta"))
+    return coded.join(hours, "codigo_acta").withColumn(
+        "segundos",
+        F.unix_seconds("fecha_recepcion")
+        - F.unix_seconds(F.date_trunc("day", "fecha_recepcion"))
+        - F.col("_h") * 3600,
+    )
+
+
 def mean_delay(sheets: DataFrame, t: DataFrame) -> DataFrame:
     """First and last arrival and mean minutes between closing and reception.
 
     Closing is the closing hour on the day of reception; sheets received before it are not
     delays and are left out of the mean.
     """
-    hours = t.select("codigo_acta", F.col("cierre_hora").try_cast("int").alias("_h"))
-    rows = (
-        sheets.select("departamento", "fecha_recepcion", numeric_code(F.col("acta_id")).alias("codigo_acta"))
-        .join(hours, "codigo_acta")
-        .withColumn(
-            "_s",
-            F.unix_seconds("fecha_recepcion")
-            - F.unix_seconds(F.date_trunc("day", "fecha_recepcion"))
-            - F.col("_h") * 3600,
-        )
-    )
-    late = F.when(F.col("_s") >= 0, F.col("_s"))
-    return rows.groupBy("departamento").agg(
+    late = F.when(F.col("segundos") >= 0, F.col("segundos"))
+    return delays(sheets, t).groupBy("departamento").agg(
         F.min("fecha_recepcion").alias("primera_acta"),
         F.max("fecha_recepcion").alias("ultima_acta"),
         F.when(F.count(late) > 0, F.sum(late) / F.count(late) / 60).otherwise(0.0).alias("minutos_promedio"),
@@ -167,6 +168,14 @@ def processing_rate(sheets: DataFrame, width: str = "1 day") -> DataFrame:
     )
 
 
+def turnout_basis(t: DataFrame) -> DataFrame:
+    """Turnout of every table with voters, in whole hundredths of a percent."""
+    return t.where(F.col("votantes_habilitados") > 0).select(
+        "departamento", "codigo_acta",
+        F.expr("papeletas_anfora * 10000 div votantes_habilitados").alias("centesimas"),
+    )
+
+
 def turnout_outliers(t: DataFrame, limit: float = 2.0) -> DataFrame:
     """Tables whose turnout is over ``limit`` standard deviations from their department's.
 
@@ -174,10 +183,7 @@ def turnout_outliers(t: DataFrame, limit: float = 2.0) -> DataFrame:
     department figures are aggregated first and joined back: a handful of rows, where a
     window would bring a whole department into one task.
     """
-    basis = t.where(F.col("votantes_habilitados") > 0).select(
-        "departamento", "codigo_acta",
-        F.expr("papeletas_anfora * 10000 div votantes_habilitados").alias("centesimas"),
-    )
+    basis = turnout_basis(t)
     c = F.col("centesimas")
     stats = basis.groupBy("departamento").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(c).alias("_s"),

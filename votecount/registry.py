@@ -2,6 +2,7 @@
 
 import hashlib
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from votecount.operators.lineage import shared_path
 from votecount.operators.groups import attach, first_wins, stamp, stamp_seq
 from votecount.plans import dashboard as dash
 from votecount.plans import extensions as ext
+from votecount.plans import indicators as ind
 from votecount.plans import query_bank as qb
 from votecount.plans import replay as rep
 from votecount.plans import snapshot as snap
@@ -1049,3 +1051,31 @@ def processing_rate(e):
 @query
 def turnout_outliers(e):
     return ext.turnout_outliers(e.transcriptions)
+
+
+# --- indicators --------------------------------------------------------------------
+
+
+@query
+def state_as_of(e):
+    return ind.state_as_of(e.event_log, [datetime(1996, 1, 1), datetime(1998, 6, 30, 12), datetime(2002, 1, 1)])
+
+
+@query
+def turnout_outliers_robust(e):
+    return ind.turnout_outliers_robust(e.transcriptions, limit=2.0)
+
+
+@query
+def digit_test(e):
+    return ind.digit_test(e.transcriptions, least=10)
+
+
+@query
+def latency_by_hour(e):
+    return ind.latency_exact(e.sheets, e.transcriptions)
+
+
+@query
+def active_places_by_hour(e):
+    return ind.active_places(e.sheets, e.mesas)
