@@ -944,7 +944,7 @@ SELECT departamento, codigo_acta, centesimas, z FROM (
 SELECT acta_id, momento, tipo_evento AS ultimo_evento, fecha, n AS eventos FROM (
   SELECT evt.*, momento, row_number() OVER (PARTITION BY acta_id, momento ORDER BY fecha DESC, event_id DESC) AS rn,
          count(*) OVER (PARTITION BY acta_id, momento) AS n
-  FROM evt JOIN (VALUES (TIMESTAMP '1996-01-01 00:00:00'), (TIMESTAMP '1998-06-30 12:00:00'), (TIMESTAMP '2002-01-01 00:00:00')) v(momento)
+  FROM evt JOIN (VALUES (TIMESTAMP '2024-01-05 00:00:00'), (TIMESTAMP '2024-01-15 12:00:00'), (TIMESTAMP '2024-01-31 00:00:00')) v(momento)
     ON fecha <= momento) WHERE rn = 1"""),
     "turnout_outliers_robust": _base("""
 SELECT * FROM (

@@ -1058,7 +1058,7 @@ def turnout_outliers(e):
 
 @query
 def state_as_of(e):
-    return ind.state_as_of(e.event_log, [datetime(1996, 1, 1), datetime(1998, 6, 30, 12), datetime(2002, 1, 1)])
+    return ind.state_as_of(e.event_log, [datetime(2024, 1, 5), datetime(2024, 1, 15, 12), datetime(2024, 1, 31)])
 
 
 @query
