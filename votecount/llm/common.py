@@ -46,12 +46,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go when the execution that wrote them ends, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
-    """The rows of ``df`` written once as a table and read back; whole texts are worth a tighter ``compression``."""
-    df.write.option("compression", compression).parquet(path)
+    """The rows of ``df`` written once as a table and read back; whole texts are worth a tighter ``compression``.
+
+    The shuffles of the write are of no use once the table stands, so their files go with it.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of a job's own folder that nothing to come will read."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(c, _UPPER, _LOWER)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votecount.llm.common import fresh_long, saved
+from votecount.llm.common import discard, fresh_long, saved
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
@@ -37,6 +37,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         moved = edges.join(at_a, "a").join(at_b, "b").where("x <> y")
         moved = moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         edges = saved(moved, f"{folder}/links-{k + 1}")
+        discard(edges.sparkSession, f"{folder}/links-{k}")
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = moves[0].withColumnRenamed("to", "at")
@@ -44,6 +45,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         further = move.select(F.col("node").alias("at"), F.col("to"))
         found = found.join(further, "at", "left").select("node", F.coalesce("to", "at").alias("at"))
     found = saved(found, f"{folder}/places")
+    discard(found.sparkSession, *[f"{folder}/moves-{k}" for k in range(len(moves))])
     # The place is some node of the component; its smallest one is its name.
     names = found.groupBy("at").agg(F.min(F.least("node", "at")).alias("component"))
     names = names.select(fresh_long(F.col("at")).alias("key"), "component")

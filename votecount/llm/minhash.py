@@ -124,7 +124,7 @@ def _grouped(docs: DataFrame, key: str, text: str, pct: int) -> tuple[DataFrame,
         .agg(F.min("p").alias("id"), F.min("id").alias("least"), F.first("bands").alias("bands")),
         f"{folder}/classes",
     )
-    pairs = stars(classes.select("id", F.explode("bands").alias("band")))
+    pairs = stars(classes.select("id", F.explode("bands").alias("band")), folder)
     # No spoke is dropped by an estimate: two near copies may meet only through a third, unlike document.
     coarse = components(pairs.select(F.col("rep").alias("a"), F.col("id").alias("b")), f"{folder}/coarse")
     members = coarse.select(F.col("node").alias("id"), F.col("component").alias("cluster"))

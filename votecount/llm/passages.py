@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votecount.llm.common import fresh_long, saved
+from votecount.llm.common import discard, fresh_long, saved
 from votecount.llm.tokens import slices_by_bytes
 from votecount.llm.words import BETWEEN_SPACES, Words, constants, mix, text_bytes, window_hashes, words_of
 
@@ -187,10 +187,10 @@ def repeats(plain: DataFrame, gone: DataFrame, folder: str) -> DataFrame:
     shared = met.groupBy("anchor").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.max("times").alias("times"))
     shared = shared.where("a < b or times > 1").select(fresh_long(F.col("anchor")).alias("key"))
     shared = saved(shared, f"{folder}/shared")
-    wanted = met.select("d1", "d2", "anchor", fresh_long(F.col("anchor")).alias("key")).join(shared, "key")
-    wanted = saved(
-        wanted.groupBy("d1", "d2").agg(F.collect_set("anchor").alias("wanted")), f"{folder}/wanted"
-    )
+    wanted = met.select("d1", "d2", fresh_long(F.col("anchor")).alias("key")).join(shared, "key")
+    wanted = wanted.groupBy("d1", "d2").agg(F.collect_set(fresh_long(F.col("key"))).alias("wanted"))
+    wanted = saved(wanted, f"{folder}/wanted")
+    discard(plain.sparkSession, f"{folder}/anchors", f"{folder}/shared")
     texts = left.join(wanted, ["d1", "d2"]).select("id", "d1", "d2", "text", "lines", "wanted")
     runs = texts.mapInArrow(
         _runs, "anchor bigint, id bigint, d1 bigint, d2 bigint, pos int, windows array<bigint>, over array<int>"

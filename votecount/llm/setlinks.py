@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votecount.llm.common import fresh_long
+from votecount.llm.common import fresh_long, saved
 from votecount.llm.words import constants, mix
 
 #: Size of a block: shingles in all, and members.
@@ -60,10 +60,10 @@ def band_keys(lows: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((part * constants(rows, 13)).sum(axis=1, dtype=np.uint64) + constants(bands, 14)).view(np.int64)
 
 
-def stars(rows: DataFrame) -> DataFrame:
+def stars(rows: DataFrame, folder: str) -> DataFrame:
     """Distinct (rep, id) of the rows (id, band): every member of a bucket with its smallest."""
     buckets = rows.groupBy("band").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
-    buckets = buckets.select(fresh_long(F.col("band")).alias("key"), "rep")
+    buckets = saved(buckets.select(fresh_long(F.col("band")).alias("key"), "rep"), f"{folder}/buckets")
     met = rows.select(fresh_long(F.col("band")).alias("key"), "id").join(buckets, "key")
     return met.where("id <> rep").select("rep", "id").distinct()
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from votecount.llm import passages
-from votecount.llm.common import fresh_long, saved, shared_folder
+from votecount.llm.common import discard, fresh_long, saved, shared_folder
 from votecount.llm.components import components
 from votecount.llm.setlinks import band_keys, exact_links, minima, stars, tune, with_blocks
 from votecount.llm.tokens import slices_by_bytes
@@ -117,13 +117,17 @@ def _occurrences(plain: DataFrame, pct: int, folder: str) -> DataFrame:
     bands, rows = tune(pct / 100, RECALL, HASHES)
     # The number of a paragraph is drawn once, when the table is written.
     paragraphs = plain.mapInArrow(_paragraphs(bands, rows), _ROW).withColumn("p", F.monotonically_increasing_id())
-    paragraphs = saved(paragraphs, f"{folder}/paragraphs")
-    classes = paragraphs.groupBy("k1", "k2", "n").agg(
+    spark, banded = plain.sparkSession, saved(paragraphs, f"{folder}/banded")
+    paragraphs = saved(banded.drop("bands"), f"{folder}/paragraphs")
+    classes = banded.groupBy("k1", "k2", "n").agg(
         F.min("p").alias("id"), F.count(F.lit(1)).alias("times"), F.first("bands").alias("bands")
     )
-    classes = saved(classes, f"{folder}/classes")
-    pairs = stars(classes.select("id", F.explode("bands").alias("band")))
+    banded = saved(classes, f"{folder}/banded-classes")
+    discard(spark, f"{folder}/banded")
+    classes = saved(banded.drop("bands"), f"{folder}/classes")
+    pairs = stars(banded.select("id", F.explode("bands").alias("band")), folder)
     coarse = components(pairs.select(F.col("rep").alias("a"), F.col("id").alias("b")), f"{folder}/coarse")
+    discard(spark, f"{folder}/banded-classes", f"{folder}/buckets")
     members = coarse.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     members = saved(with_blocks(members.join(classes.select("id", "n"), "id")), f"{folder}/members")
     places = paragraphs.select(F.col("p").alias("id"), "d1", "d2", "line").join(members, "id")
@@ -162,6 +166,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", pct
         F.struct(F.coalesce("lines", none("array<int>")).alias("lines"), "starts", F.array_sort(all_ids).alias("kept_in")).alias("__gone"),
     )
     gone = saved(gone, f"{folder}/all")
+    discard(docs.sparkSession, *[f"{folder}/{t}" for t in ("paragraphs", "classes", "occurrences", "gone", "passages")])
     df = docs.withColumns(_document_key(key, text)).join(gone, ["__d1", "__d2"], "left")
     # Only texts with runs to cut go through Python.
     cut_runs = F.arrow_udf(passages.cut, passages.CUT)
